@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tasklattice.llm import structural_copies
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from tasklattice.llm import canonical_values, structural_copies
 from tasklattice.llm.common import ads
 from tasklattice.sources.tables import table  # noqa: F401
 
@@ -15,5 +19,15 @@ def p6_collapsed(spark, d):
     return structural_copies.collapsed(ads(spark, d, "company_id", "content_clean"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_collapsed": p6_collapsed}
+def p7_found(spark, d):
+    reference = table(spark, d, "occupation_reference")
+    parts = {
+        "title": canonical_values.map_titles(ads(spark, d, "title"), "uid", "title", reference),
+        "x28_occupations": canonical_values.map_code_lists(ads(spark, d, "x28_occupations"), "uid", "x28_occupations", table(spark, d, "x28_isco_crosswalk")),
+        "isco_code": canonical_values.map_codes(table(spark, d, "stage6_jobs_linked__jobads_isco_variant"), "link_id", "isco_code", reference),
+    }
+    return reduce(lambda a, b: a.unionByName(b), (df.select(F.lit(k).alias("field"), "row_key", "isco_code") for k, df in parts.items()))
+
+
+QUERIES = {"p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
 SQL: dict[str, str] = {}
