@@ -21,19 +21,21 @@ from pyspark.sql import functions as F
 from tasklattice.llm.common import fold
 
 #: Least Jaccard similarity of two sets of letter pairs to be compared further.
-THRESHOLD = 0.35
+THRESHOLD = 0.3
 
 _BRACKETS = re.compile(r"\([^)]*\)|\[[^\]]*\]")
 _SHARE = re.compile(r"\d+(?:[.,]\d+)?\s*(?:[-–]\s*\d+\s*)?%?")
 _GENDER = re.compile(r"\b(?:[mwfdhx](?:\s*/\s*[mwfdhx])+)\b|[:*]in(?:nen)?\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _HYPHEN = re.compile(r"(?<=\w)[-­‐‑](?=\w)")
+_SHORT_TAIL = re.compile(r"(\w+)[-‐‑](\w{2,3}(?:in)?)\b")
 _DOT_INSIDE = re.compile(r"(?<=[^\W\d_])\.(?=[^\W\d_])")
+_CAPITALS = re.compile(r"[A-Z]{2}")
 _VOWELS = frozenset("aeiouy")
 
 #: Endings of male forms and what they become in female ones.
 _FEMALE = {
-    "de": (("mann", "frau"), ("mann", "in"), ("arzt", "arztin"), ("", "in")),
+    "de": (("mann", "frau"), ("mann", "in"), ("eur", "euse"), ("", "in")),
     "fr": (("teur", "trice"), ("eur", "euse"), ("eur", "eure"), ("ier", "iere"), ("er", "ere"), ("ien", "ienne"), ("if", "ive"), ("ef", "effe"), ("al", "ale"), ("e", "ee"), ("at", "ate"), ("ant", "ante"), ("il", "ile")),
     "it": (("tore", "trice"), ("tore", "tora"), ("iere", "iera"), ("o", "a"), ("e", "essa")),
     "en": (("man", "woman"), ("er", "ress"), ("or", "ress")),
@@ -42,17 +44,19 @@ _FEMALE = {
 
 def words(text: str) -> list[tuple[str, bool]]:
     """The folded words of ``text`` and whether each looks abbreviated (a dot
-    follows, two or three capitals, or a few consonants alone). Percentages,
-    bracketed remarks and gender marks are left out; hyphens inside words join."""
+    follows, capitals inside a word or few of them alone, a short last part after
+    a hyphen, or a few consonants alone). Percentages, bracketed remarks and
+    gender marks are left out; hyphens inside words join."""
     t = _GENDER.sub(" ", _SHARE.sub(" ", _BRACKETS.sub(" ", text)))
+    tails = {a + b for a, b in _SHORT_TAIL.findall(t)}
     t = _HYPHEN.sub("", t)
     out = []
     for m in _WORD.finditer(t):
         raw = m.group().replace("'", "").replace("’", "")
         folded = fold(raw)
         dotted = t[m.end() : m.end() + 1] == "."
-        tail = re.search(r"[A-Z]{2,3}$", raw)
-        marks = bool(tail) or (2 <= len(folded) <= 4 and not _VOWELS & set(folded))
+        capitals = _CAPITALS.search(raw) and (len(raw) <= 3 or not raw.isupper())
+        marks = bool(capitals) or raw in tails or (2 <= len(folded) <= 4 and not _VOWELS & set(folded))
         # "Ing.in": what follows the dot belongs to the word
         if out and _DOT_INSIDE.match(t, m.start() - 1) and len(folded) <= 3:
             out[-1] = (out[-1][0] + folded, True)
@@ -118,17 +122,26 @@ def abbreviates(short: str, full: str) -> bool:
     return all(ch in it for ch in short)
 
 
-def agreement(window: str, abbreviated: bool, form: str) -> float:
+def agreement(window: str, abbreviated: bool, form: str, missing: int = 0, jaccard: float = 1.0) -> float:
     """How surely ``window`` stands for ``form``, 0 for not: 1 where they are
-    equal, less by the share of edited letters, at most 0.7 for abbreviations."""
+    equal, less by the share of edited letters, at most 0.7 for abbreviations.
+    ``missing`` letter pairs of ``form`` are not in ``window``; an edit takes away
+    three at most. A word without signs of an abbreviation may lack letters inside
+    if first and last one agree and ``jaccard`` is half at least."""
     best = 0.0
     a, b = window.replace(" ", ""), form.replace(" ", "")
     most = 0 if len(b) < 4 else 1 if len(b) < 10 else 2
-    for x, y in ((a, b), ("".join(sorted(window.split(" "))), "".join(sorted(form.split(" "))))):
-        if (d := edits(x, y, most)) <= most:
-            best = max(best, 1 - d / len(y))
-    if best < 0.7 and abbreviated and abbreviates(a, b):
-        best = 0.4 + 0.3 * len(a) / len(b)
+    if missing <= 3 * most and abs(len(a) - len(b)) <= most:
+        tries = {(a, b)}
+        if " " in form:
+            tries.add(("".join(sorted(window.split(" "))), "".join(sorted(form.split(" ")))))
+        for x, y in tries:
+            if (d := edits(x, y, most)) <= most:
+                best = max(best, 1 - d / len(y))
+    if best < 0.7:
+        inside = jaccard >= 0.5 and len(a) >= 8 and len(a) >= 0.6 * len(b) and a[-1:] == b[-1:]
+        if (abbreviated or inside) and abbreviates(a, b):
+            best = max(best, 0.4 + 0.3 * len(a) / len(b))
     return best
 
 
@@ -165,7 +178,7 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD
     )
     shared = F.size(F.array_intersect("window_pairs", "form_pairs"))
     score = shared / (F.col("window_n") + F.col("form_n") - shared)
-    return joined.withColumn("jaccard", score).filter(F.col("jaccard") >= threshold).select("window", "form", "jaccard").distinct()
+    return joined.withColumn("jaccard", score).filter(F.col("jaccard") >= threshold).select("window", "form", "jaccard", (F.col("form_n") - shared).alias("missing")).distinct()
 
 
 def mapped(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -188,8 +201,9 @@ def mapped(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["plain"] = [agreement(w, False, f) for w, f in zip(b["window"], b["form"], strict=True)]
-            b["short"] = [agreement(w, True, f) if p == 0 else p for w, f, p in zip(b["window"], b["form"], b["plain"], strict=True)]
+            pairs = list(zip(b["window"], b["form"], b["missing"], b["jaccard"], strict=True))
+            b["plain"] = [agreement(w, False, f, m, j) for w, f, m, j in pairs]
+            b["short"] = [p or agreement(w, True, f, 99, j) for (w, f, _, j), p in zip(pairs, b["plain"], strict=True)]
             yield b[b["short"] > 0][["window", "form", "jaccard", "plain", "short"]]
 
     cut = values.select("value").filter(F.col("value").isNotNull()).distinct().mapInPandas(cut_windows, "value string, window string, abbreviated boolean")

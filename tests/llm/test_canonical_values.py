@@ -9,7 +9,7 @@ REF_COLS = "isco_code string, title_de string, title_fr string, title_it string,
 CASES = {
     "Bäcker": "7512", "BÄCKERIN (m/w/d) 80-100%": "7512", "Baer - full time": "7512", "Bakker @ Yvorens": "7512", "SW- Developer ": "2512", "Maschinen-Ing.in": "2144",
     "Wir suchen Softwareentwicklerin für unser Team in Sankt Alvis": "2512", "Développeuse de logiciels F/H": "2512", "données de bases de Spécialiste": "2521", "Datenbankspez. , Brugglisau": "2521",
-    "Restaurant Mgr - full time": "1412", "JEUNE SOLDATE DE METIER": "0310", "Imker": "unmatched", "": "unmatched", "Stelle frei!": "unmatched", "Restaurant": "unmatched", "x" * 20_000: "unmatched",
+    "Restaurant Mgr - full time": "1412", "JEUNE SOLDATE DE METIER": "0310", "SW-entwickler": "2512", "Bkaer (m/f/d)": "7512", "Imker": "unmatched", "": "unmatched", "Stelle frei!": "unmatched", "Restaurant": "unmatched", "x" * 20_000: "unmatched",
 }
 
 
