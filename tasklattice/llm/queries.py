@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tasklattice.llm import canonical_values, structural_copies
+from tasklattice.llm import canonical_values, name_variants, structural_copies
 from tasklattice.llm.common import ads
 from tasklattice.sources.tables import table  # noqa: F401
 
@@ -29,5 +29,9 @@ def p7_found(spark, d):
     return reduce(lambda a, b: a.unionByName(b), (df.select(F.lit(k).alias("field"), "row_key", "isco_code") for k, df in parts.items()))
 
 
-QUERIES = {"p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+def p3_found(spark, d):
+    return name_variants.linked_names(table(spark, d, "job_postings_unified").select("company_name", "company_is_recruiter"))
+
+
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
 SQL: dict[str, str] = {}
