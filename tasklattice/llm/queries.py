@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tasklattice.llm import canonical_values, name_variants, structural_copies
+from tasklattice.llm import canonical_values, name_variants, structural_copies, text_statistics
 from tasklattice.llm.common import ads
 from tasklattice.sources.tables import table  # noqa: F401
 
@@ -33,5 +33,13 @@ def p3_found(spark, d):
     return name_variants.linked_names(table(spark, d, "job_postings_unified").select("company_name", "company_is_recruiter"))
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+def p10_found(spark, d):
+    return text_statistics.not_prose(table(spark, d, "documents"))
+
+
+def p10_statistics(spark, d):
+    return text_statistics.document_statistics(table(spark, d, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
 SQL: dict[str, str] = {}
