@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tasklattice.llm import canonical_values, name_variants, structural_copies, text_statistics
+from tasklattice.llm import broken_responses, canonical_values, languages, name_variants, structural_copies, text_statistics
 from tasklattice.llm.common import ads
 from tasklattice.sources.tables import table  # noqa: F401
 
@@ -41,5 +41,33 @@ def p10_statistics(spark, d):
     return text_statistics.document_statistics(table(spark, d, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+def _profiles(spark, d):
+    return languages.fitted(ads(spark, d, "content_clean"), table(spark, d, "ad_language_labels"), table(spark, d, "occupation_reference"))
+
+
+def p1_found(spark, d):
+    return languages.mislabelled(ads(spark, d, "title", "content_clean"), table(spark, d, "ad_language_labels"), _profiles(spark, d))
+
+
+def p1_segments(spark, d):
+    return languages.ad_segments(ads(spark, d, "title", "content_clean"), _profiles(spark, d))
+
+
+STEPS = {1: ("content_clean", "ai_applications_raw"), 2: ("ai_applications_raw", "step2_output"), 3: ("step2_output", "step3_output")}
+
+
+def _flags(spark, d):
+    steps = [table(spark, d, f"step{n}_output").select(F.lit(n).alias("step_no"), "uid", F.col(p).alias("prompt"), F.col(r).alias("response")) for n, (p, r) in STEPS.items()]
+    return broken_responses.flagged(reduce(lambda a, b: a.unionByName(b), steps), broken_responses.fitted(table(spark, d, "step1_output"), "content_clean"))
+
+
+def p5_found(spark, d):
+    return broken_responses.first(_flags(spark, d))
+
+
+def p5_all_defects(spark, d):
+    return _flags(spark, d)
+
+
+QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_all_defects": p5_all_defects, "p10_found": p10_found, "p10_statistics": p10_statistics, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
 SQL: dict[str, str] = {}
