@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tasklattice.llm import broken_responses, canonical_values, languages, name_variants, structural_copies, text_statistics
+from tasklattice.llm import broken_responses, canonical_values, languages, name_variants, personal_information, structural_copies, text_statistics
 from tasklattice.llm.common import ads
 from tasklattice.sources.tables import table  # noqa: F401
 
@@ -69,5 +69,13 @@ def p5_all_defects(spark, d):
     return _flags(spark, d)
 
 
-QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_all_defects": p5_all_defects, "p10_found": p10_found, "p10_statistics": p10_statistics, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+def p2_found(spark, d):
+    return personal_information.found_types(ads(spark, d, "content_clean", "company_name"))
+
+
+def p2_masked(spark, d):
+    return personal_information.mask_ads(ads(spark, d, "content_clean", "company_name"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_masked": p2_masked, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_all_defects": p5_all_defects, "p10_found": p10_found, "p10_statistics": p10_statistics, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
 SQL: dict[str, str] = {}
