@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tasklattice.llm import broken_responses, canonical_values, languages, name_variants, personal_information, structural_copies, text_statistics
+from tasklattice.llm import broken_responses, canonical_values, languages, mixing, name_variants, packing, personal_information, structural_copies, text_statistics, vector_neighbours
 from tasklattice.llm.common import ads
 from tasklattice.sources.tables import table  # noqa: F401
 
@@ -77,5 +77,32 @@ def p2_masked(spark, d):
     return personal_information.mask_ads(ads(spark, d, "content_clean", "company_name"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_masked": p2_masked, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_all_defects": p5_all_defects, "p10_found": p10_found, "p10_statistics": p10_statistics, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
-SQL: dict[str, str] = {}
+def p4_found(spark, d):
+    return vector_neighbours.linked(table(spark, d, "text_vectors"))
+
+
+def _capacity(spark, d, kind):
+    return table(spark, d, "container_sizes").filter(F.col("container_kind") == kind).agg(F.max("capacity_tokens")).first()[0]
+
+
+def p8_containers(spark, d, kind="medium"):
+    return packing.packed(table(spark, d, "documents"), _capacity(spark, d, kind)).withColumn("container_kind", F.lit(kind))
+
+
+def p9_mixture(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark, d):
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mixture(docs, targets)[0], targets)
+
+
+QUERIES = {"p4_found": p4_found, "p8_containers": p8_containers, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p2_found": p2_found, "p2_masked": p2_masked, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_all_defects": p5_all_defects, "p10_found": p10_found, "p10_statistics": p10_statistics, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+SQL: dict[str, str] = {
+    "p4_found": """
+        with v as (select vec_id, vec::double[] as vec from text_vectors where vec is not null and list_sum(list_transform(vec::double[], x -> x * x)) > 0),
+        c as (select a.vec_id a, b.vec_id b, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.vec, b.vec) desc, b.vec_id) r
+              from v a join v b on a.vec_id <> b.vec_id)
+        select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b from c where r <= 5""",
+}
