@@ -101,7 +101,7 @@ def p9_shares(spark, d):
 QUERIES = {"p4_found": p4_found, "p8_containers": p8_containers, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p2_found": p2_found, "p2_masked": p2_masked, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_all_defects": p5_all_defects, "p10_found": p10_found, "p10_statistics": p10_statistics, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
 SQL: dict[str, str] = {
     "p4_found": """
-        with v as (select vec_id, vec::double[] as vec from text_vectors where vec is not null and list_sum(list_transform(vec::double[], x -> x * x)) > 0),
+        with v as (select vec_id, vec::double[] as vec from text_vectors where vec is not null and list_inner_product(vec::double[], vec::double[]) > 0),
         c as (select a.vec_id a, b.vec_id b, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.vec, b.vec) desc, b.vec_id) r
               from v a join v b on a.vec_id <> b.vec_id)
         select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b from c where r <= 5""",
