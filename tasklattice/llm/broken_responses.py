@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tasklattice.llm import languages
+from tasklattice.llm.common import bounded_sample
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "other_language")
 
@@ -182,7 +183,8 @@ def defects(profiles: languages.Profiles, prompt: str | None, response: str | No
 def fitted(prompts: DataFrame, column: str, sample: int = 1000) -> languages.Profiles:
     """Language prototypes that have seen up to ``sample`` prompts (those with the
     least hash), each labelled by the seed prototypes."""
-    got = prompts.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(F.xxhash64(column), column).limit(sample).collect()
+    texts = prompts.filter(F.col(column).isNotNull()).select(column)
+    got = bounded_sample(texts, sample, column, texts.count())
     seed = languages.fit([])
     return languages.fit([(seed.best(r[0])[0], r[0]) for r in got if r[0].strip()])
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklattice.llm.common import filled
+from tasklattice.llm.common import bounded_sample, filled
 
 LANGS = ("de", "fr", "it", "en")
 DIMENSION = 8192
@@ -245,14 +245,10 @@ def fitted(rows: DataFrame, labels: DataFrame, reference: DataFrame | None = Non
     """Prototypes fitted on at most ``sample`` labelled ads, those with the least
     hash of their uid; only these reach the driver."""
     named = F.lower(F.trim("lang"))
-    got = (
-        rows.join(labels.filter(F.col("lang").isNotNull() & ~named.isin(*NO_LABEL)).select("uid", "lang"), "uid")
-        .filter(filled("content_clean"))
-        .orderBy(F.xxhash64("uid"), "uid")
-        .select("lang", "content_clean")
-        .limit(sample)
-        .collect()
-    )
+    known = labels.filter(F.col("lang").isNotNull() & ~named.isin(*NO_LABEL)).select("uid", "lang")
+    # Of a few labels many rows may be without text or delivered twice: some 1.5 times the sample is read.
+    texts = rows.select("uid", "content_clean").filter(filled("content_clean")).join(known, "uid")
+    got = bounded_sample(texts, sample, "uid", known.count())
     titles = [(k, t) for r in (reference.collect() if reference is not None else []) for k in LANGS if (t := r[f"title_{k}"])]
     return fit([(k, r.content_clean) for r in got if (k := label_language(r.lang))], titles)
 
