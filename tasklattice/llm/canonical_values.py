@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,6 +76,19 @@ def pairs_of_letters(window: str) -> list[str]:
     return sorted({p[i : i + 2] for word in window.split(" ") for p in [f"^{word}$"] for i in range(len(p) - 1)})
 
 
+#: Words of 64 bits that sketch a set of letter pairs.
+SKETCH = 4
+
+
+def sketch(pairs: list[str]) -> list[int]:
+    """A bit for each pair, by its hash, as signed words."""
+    bits = [0] * SKETCH
+    for p in pairs:
+        h = crc32(p.encode()) % (64 * SKETCH)
+        bits[h // 64] |= 1 << (h % 64)
+    return [b - 2**64 if b >= 2**63 else b for b in bits]
+
+
 def forms(title: str, lang: str) -> set[str]:
     """A reference title and its female forms, folded."""
     base = " ".join(w for w, _ in words(title))
@@ -157,24 +171,44 @@ def reference_forms(reference: DataFrame) -> DataFrame:
     return reference.select("isco_code", *(f"title_{x}" for x in _FEMALE)).mapInPandas(run, "isco_code string, form string").distinct()
 
 
+_BITS = [f"b{i}" for i in range(SKETCH)]
+SET_COLUMNS = "pairs array<string>, " + ", ".join(f"{b} bigint" for b in _BITS)
+
+
+def with_sets(words: pd.Series) -> pd.DataFrame:
+    """The set of letter pairs of each window or form, and its sketch."""
+    pairs = [pairs_of_letters(x) for x in words]
+    return pd.DataFrame({words.name: words.tolist(), "pairs": pairs, **dict(zip(_BITS, zip(*(sketch(p) for p in pairs), strict=True), strict=True))} if pairs else {c: [] for c in (words.name, "pairs", *_BITS)})
+
+
 def _prefixes(sets: DataFrame, counts: DataFrame, threshold: float, name: str) -> DataFrame:
     """The rare prefix of each set, one row per member, with its position."""
-    ordered = sets.select(name, F.explode("pairs").alias("pair")).join(counts, "pair").groupBy(name).agg(F.sort_array(F.collect_list(F.struct("count", "pair"))).alias("s"))
+    members = sets.select(name, *_BITS, F.explode("pairs").alias("pair")).join(counts, "pair")
+    ordered = members.groupBy(name, *_BITS).agg(F.sort_array(F.collect_list(F.struct("count", "pair"))).alias("s"))
     size = F.size("s")
     rare = F.slice("s.pair", F.lit(1), (size - F.ceil(size * F.lit(threshold)) + 1).cast("int"))
-    return ordered.select(name, F.col("s.pair").alias(f"{name}_pairs"), size.alias(f"{name}_n"), F.posexplode(rare).alias(f"{name}_at", "pair"))
+    bits = [F.col(b).alias(f"{name}_{b}") for b in _BITS]
+    return ordered.select(name, F.col("s.pair").alias(f"{name}_pairs"), size.alias(f"{name}_n"), *bits, F.posexplode(rare).alias(f"{name}_at", "pair"))
 
 
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of ``left.window`` and ``right.form`` (both with their set in
-    ``pairs``) whose Jaccard similarity reaches ``threshold``."""
+    """Pairs of ``left.window`` and ``right.form`` (both with SET_COLUMNS) whose
+    Jaccard similarity reaches ``threshold``: (window, form, jaccard, missing).
+
+    Before the sets are intersected, their sketches bound what they can share: the
+    common bits, and the members that fell on a bit already taken.
+    """
     counts = left.select(F.explode("pairs").alias("pair")).unionByName(right.select(F.explode("pairs").alias("pair"))).groupBy("pair").count()
     a, b = _prefixes(left, counts, threshold, "window"), _prefixes(right, counts, threshold, "form")
     least: Column = F.ceil((F.col("window_n") + F.col("form_n")) * (threshold / (1 + threshold)))
+    set_bits = sum((F.bit_count(f"form_{x}") for x in _BITS), F.lit(0))
+    b = b.withColumn("form_lost", F.col("form_n") - set_bits)
+    common = sum((F.bit_count(F.col(f"window_{x}").bitwiseAND(F.col(f"form_{x}"))) for x in _BITS), F.lit(0))
     joined = a.join(b, "pair").filter(
         (F.col("form_n") >= F.col("window_n") * threshold)
         & (F.col("window_n") >= F.col("form_n") * threshold)
         & (F.lit(1) + F.least(F.col("window_n") - F.col("window_at") - 1, F.col("form_n") - F.col("form_at") - 1) + F.least("window_at", "form_at") >= least)
+        & (common + F.col("form_lost") >= least)
     )
     shared = F.size(F.array_intersect("window_pairs", "form_pairs"))
     score = shared / (F.col("window_n") + F.col("form_n") - shared)
@@ -196,8 +230,7 @@ def mapped(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD
 
     def add_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            key = b.columns[0]
-            yield pd.DataFrame({key: b[key], "pairs": [pairs_of_letters(x) for x in b[key]]})
+            yield with_sets(b.iloc[:, 0])
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -207,8 +240,8 @@ def mapped(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD
             yield b[b["short"] > 0][["window", "form", "jaccard", "plain", "short"]]
 
     cut = values.select("value").filter(F.col("value").isNotNull()).distinct().mapInPandas(cut_windows, "value string, window string, abbreviated boolean")
-    left = cut.select("window").distinct().mapInPandas(add_pairs, "window string, pairs array<string>")
-    right = refs.select("form").distinct().mapInPandas(add_pairs, "form string, pairs array<string>")
+    left = cut.select("window").distinct().mapInPandas(add_pairs, f"window string, {SET_COLUMNS}")
+    right = refs.select("form").distinct().mapInPandas(add_pairs, f"form string, {SET_COLUMNS}")
     sure = similar_sets(left, right, threshold).mapInPandas(confirm, "window string, form string, jaccard double, plain double, short double").join(refs, "form")
     # Of one window only the best entry of either kind can win: no hot window meets all its forms again.
     order = lambda c: F.max(F.when(F.col(c) > 0, F.struct(F.col(c).alias("agreement"), F.length("form").alias("n"), "jaccard", (-F.col("isco_code").cast("int")).alias("tie"), "isco_code")))

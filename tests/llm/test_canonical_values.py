@@ -41,7 +41,7 @@ def test_join_loses_no_pair(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(3, 9)))
     left, right = sorted({word() for _ in range(120)}), sorted({word() for _ in range(60)})
-    make = lambda name, xs: spark.createDataFrame([(x, cv.pairs_of_letters(x)) for x in xs], f"{name} string, pairs array<string>")
+    make = lambda name, xs: spark.createDataFrame([(x, p, *cv.sketch(p)) for x in xs for p in [cv.pairs_of_letters(x)]], f"{name} string, {cv.SET_COLUMNS}")
     got = {(r.window, r.form) for r in cv.similar_sets(make("window", left), make("form", right), 0.5).collect()}
     sets = {x: set(cv.pairs_of_letters(x)) for x in [*left, *right]}
     assert got == {(a, b) for a in left for b in right if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
