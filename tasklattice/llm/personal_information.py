@@ -30,17 +30,18 @@ PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
 # Look-alikes of Latin letters and signs.
 _LOOKS = dict(zip("АВЕКМНОРСТХаеорсухіїјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανι＠．＋－‐‑‒–—−／⁄’ʼ`´  　（）٠١٢٣٤٥٦٧٨٩０１２３４５６７８９", "ABEKMHOPCTXaeopcyxiïjsdhABEZHIKMNOPTYXoavi@.+-------//''''   ()01234567890123456789", strict=True))
+_LOOKS |= dict.fromkeys("\t\xa0\u2007\u2009\u202f\u3000", " ")
 _PLAIN = str.maketrans(_LOOKS)
 _INVISIBLE = "­​‌‍⁠﻿"
 # Digits spelled in German, French, Italian and English.
 _SPELLED = {w: str(i) for words in ("null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "zero uno due tre quattro cinque sei sette otto nove", "zero one two three four five six seven eight nine") for i, w in enumerate(words.split())} | {"zwo": "2", "oh": "0", "fuenf": "5"}
 _DIGIT_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
-_SIGNS = rf"(?P<gone>[{_INVISIBLE}]+)|(?P<at>[\[({{<]\s*(?:at|ät|ad|a|arobase|chiocciola|@)\s*[\])}}>][^\S\n]*)|(?P<dot>[\[({{<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}}>][^\S\n]*)"
+_SIGNS = rf"(?P<gone>[{_INVISIBLE}]+)|(?P<space> [ {_INVISIBLE}]+)|(?P<at>[\[({{<]\s*(?:at|ät|ad|a|arobase|chiocciola|@)\s*[\])}}>][^\S\n]*)|(?P<dot>[\[({{<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}}>][^\S\n]*)"
 _DISGUISE = re.compile(_SIGNS, re.I)
 #: Tried only where the automaton has seen spelled digits in a row or a spoken sign.
 _SPOKEN = re.compile(rf"{_SIGNS}|(?P<digits>\b(?:{_DIGIT_WORD})(?:[\s\-,]+(?:{_DIGIT_WORD})){{5,}}\b)|(?P<spoken>(?<=\w)\s(?:at|arobase|chiocciola|klammeraffe)\s+(?=[\w\-]+(?:\.|\s+(?:dot|punkt|point|punto)\s+)[a-z]))", re.I)
 _LOOKING = re.compile("[" + re.escape("".join(_LOOKS)) + "]")
-_MAYBE = re.compile(rf"[{_INVISIBLE}]|[\[({{<]\s*(?:at|ät|ad|a|arobase|chiocciola|dot|punkt|point|punto|\.|@)\s*[\])}}>]", re.I)
+_MAYBE = re.compile(rf"[{_INVISIBLE}]|  |[\[({{<]\s*(?:at|ät|ad|a|arobase|chiocciola|dot|punkt|point|punto|\.|@)\s*[\])}}>]", re.I)
 
 
 _SAID = re.compile(r"[\w\-]+(?:\.|\s+(?:dot|punkt|point|punto)\s+)[a-z]")
@@ -67,8 +68,8 @@ class Plain:
         out, starts, origins, n, last = [], [], [], 0, 0
         for m in (_SPOKEN if spoken else _DISGUISE).finditer(text):
             begin = m.start()
-            if m.lastgroup == "gone":
-                new = ""
+            if m.lastgroup in ("gone", "space"):
+                new = "" if m.lastgroup == "gone" else " "
             elif m.lastgroup == "digits":
                 new = "".join(_SPELLED[w.lower()] for w in re.findall(r"[^\W\d_]+", m.group()))
             else:
@@ -133,9 +134,9 @@ _SERIAL = re.compile(r"\b(?:[A-Z]\d{7}|[A-Z]{2}\d{6}|[A-Z]\d{2}[A-Z]\d{5})\b", r
 _HOUSE = r"\d{1,4}\s?[a-z]?(?![\w%]|\s?%|[.,:'’\-]\d|\s*-\s*\d)"
 _AFTER_DE = re.compile(rf"\s+(?:nr\.?\s*)?({_HOUSE})", re.I)
 _AFTER_ROMANCE = re.compile(rf"\s+((?:(?:de la|de l'|de|du|des|d'|dei|delle|della|del|di|degli|la|le|les)\s*)?[^\W\d_][\w'\-.]*(?:\s+[^\W\d_][\w'\-.]*){{0,3}}?),?\s+({_HOUSE})", re.I)
-_BEFORE_ROMANCE = re.compile(r"(?<![\w.,'’\-:/])(\d{1,4}\s?[a-z]?),?\s+$", re.I)
+_BEFORE_ROMANCE = re.compile(r"(?<![\w.,'’\-/])(?<!\d:)(\d{1,4}\s?[a-z]?),?[^\S\r\n]+$", re.I)
 _NAME_ROMANCE = re.compile(r"\s+(?:(?:de la|de l'|de|du|des|d'|dei|delle|della|del|di|degli|la|le|les)\s*)?[^\W\d_][\w'\-]*", re.I)
-_BEFORE_EN = re.compile(r"(?<![\w.,'’\-:/])(\d{1,4}\s?[a-z]?),?\s+((?:[^\W\d_][\w'\-]*\s+){1,3})$", re.I)
+_BEFORE_EN = re.compile(r"(?<![\w.,'’\-/])(?<!\d:)(\d{1,4}\s?[a-z]?),?[^\S\r\n]+((?:[^\W\d_][\w'\-]*[^\S\r\n]+){1,3})$", re.I)
 _TOWN = re.compile(r",?\s*(?:(?:in|à|a)\s+)?(?:CH-?|D-|F-|I-|A-)?\d{4,5}\s+[^\W\d_][\w\-]*(?:[ \-][A-ZÄÖÜ][\w\-]*){0,2}", re.I)
 _LOCAL = re.compile(r"[\w.+\-!#%&'*/=?^{|}~]+[^\S\n]{0,3}$")
 _DOMAIN = re.compile(r"[^\S\n]{0,3}[\w\-]+(?:[^\S\n]?\.[\w\-]+)*?[^\S\n]?\.[a-z]{2,24}(?![\w\-]|\.\w)", re.I)
@@ -145,7 +146,7 @@ _SMALL_BEFORE = re.compile(r"(?:^|\s)[a-zäöüéèàç][\w']*\s+$")
 _SMALL_AFTER = re.compile(r",?\s+[^\W\d_][\w\-]*\s+[a-zäöüéèàç]")
 
 # Words that stand in no street name.
-_NO_STREET = frozenset("travail lavoro pour près avec dans sur et ou à per circa con e in ce cet qui que dès und für mit".split())
+_NO_STREET = frozenset("of work the travail lavoro pour près avec dans sur et ou à per circa con e in ce cet qui que dès und für mit".split())
 
 # Words that are no part of a person's name.
 NO_NAME = frozenset(
@@ -226,7 +227,7 @@ def detect(plain: Plain, company: str = "") -> list[tuple[int, int, str]]:
                     middle = m.group(1).lower().split()
                     if not _NO_STREET & set(middle) and not low[max(0, a - 3) : a].startswith("en") and "." not in m.group(1)[:-1]:
                         found.append((a, m.end(), "address"))
-                elif (p := _BEFORE_ROMANCE.search(text, max(0, a - 9), a)) and (m := _NAME_ROMANCE.match(text, b)) and "travail" not in m.group().lower() and "lavoro" not in m.group().lower() and text[p.end() - 1 : p.end()] and not text[p.start() : a].isspace():
+                elif (p := _BEFORE_ROMANCE.search(text, max(0, a - 9), a)) and (m := _NAME_ROMANCE.match(text, b)) and not _NO_STREET & set(m.group().lower().split()):
                     found.append((p.start(1), m.end(), "address"))
             elif kind == "en":
                 if (p := _BEFORE_EN.search(text, max(0, a - 48), a)) and not any(w in NO_NAME or w in ("weeks", "years", "days", "people", "months", "hours", "percent", "clients", "employees") for w in p.group(2).lower().split()[:-1] + p.group(2).lower().split()[:1]):

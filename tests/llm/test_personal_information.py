@@ -21,8 +21,10 @@ CASES = [
     ("Votre personne de contact est LOMBVONI Luc.", "Votre personne de contact est [NAME]."),
     ("La persona di contatto è P. Gubovic.", "La persona di contatto è [NAME]."),
     ("Olvaux, Tamara is happy to answer.", "[NAME] is happy to answer."),
+    ("Ihre\tAnsprechperson  ist\xa0Herr   Gubovic .", "Ihre\tAnsprechperson  ist\xa0[NAME] ."),
+    ("L'adresse suivante :96b,  rue  du Vieux-Moulin.", "L'adresse suivante :[ADDRESS]."),
     # no cases
-    *[(x, x) for x in ("Artikel 8166-649 bleibt im Sortiment.", "Referenz 2018-A9874, Norm 7957:2015", "Das Budget beträgt 422'1718 Franken.", "Der Betrieb liegt nahe der Lindhofstrasse und hat 40 Plätze.", "Eintritt: 24.12.2024", "Im Projekt Anna arbeiten 42 Personen.", "La mise en place de machines pour près de 679 clients.", "Josef Gonadriwe Informatik AG sucht Verstärkung.", "Arbeitsplatz 80%", "Der Lohn liegt zwischen CHF 4'750 und 10'500.", "")],
+    *[(x, x) for x in ("Artikel 8166-649 bleibt im Sortiment.", "Referenz 2018-A9874, Norm 7957:2015", "Das Budget beträgt 422'1718 Franken.", "Der Betrieb liegt nahe der Lindhofstrasse und hat 40 Plätze.", "Eintritt: 24.12.2024", "Im Projekt Anna arbeiten 42 Personen.", "La mise en place de machines pour près de 679 clients.", "Josef Gonadriwe Informatik AG sucht Verstärkung.", "Arbeitsplatz 80%", "Salary band: 6370\nPlace of work: Ort\nWorkload: 85%", "salary band 6370 place of work ort workload 85 start", "Der Lohn liegt zwischen CHF 4'750 und 10'500.", "")],
 ]
 
 
