@@ -126,7 +126,7 @@ def structural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     occurs again with the same text counts once. An empty input gives empty
     results.
 
-    Plan: one pass of Arrow batches makes the digests. The sequences are grouped
+    Plan: one pass of Arrow batches makes the digests and is written once. The sequences are grouped
     with map-side combination, so copies of one text collapse before the shuffle,
     however many rows they are. What is left, one row per different sequence, is
     grouped by root and joined with the few structured records of its bag.
@@ -134,7 +134,7 @@ def structural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = rows.filter(F.col("company_id").isNotNull() & filled("content_clean")).select("uid", F.col("company_id").cast("bigint").alias("company_id"), "content_clean")
     hashed = source.mapInPandas(_hashed, "uid string, company_id bigint, sequence string, form string, root binary, bag binary").filter(F.col("sequence") != "")
     # The digest leads the key and the whole sequence confirms it.
-    hashed = hashed.withColumn("seq_id", F.sha2("sequence", 256))
+    hashed = cut(hashed.withColumn("seq_id", F.sha2("sequence", 256)))
     sequences = cut(
         hashed.groupBy("company_id", "seq_id", "sequence", "bag").agg(
             F.max(F.when(F.col("form").isNotNull(), F.struct(F.length("form").alias("n"), "form", "root"))).alias("best"),
@@ -156,7 +156,7 @@ def structural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = shaped.select("company_id", "seq_id", F.col("root").alias("class_root")).unionByName(
         flat.join(fitted, ["company_id", "seq_id"], "left").select("company_id", "seq_id", F.coalesce("class_root", F.unhex(F.substring("seq_id", 1, 32))).alias("class_root"))
     )
-    ids = cut(hashed.select("uid", "company_id", "seq_id").distinct())
+    ids = hashed.select("uid", "company_id", "seq_id").distinct()
     per_sequence = roots.join(ids.groupBy("company_id", "seq_id").agg(F.count("*").alias("n_rows")), ["company_id", "seq_id"])
     members = join_groups_back(ids, per_sequence, ["company_id", "seq_id"], "n_rows").select("uid", "company_id", "class_root")
     classes = members.groupBy("company_id", "class_root").agg(F.min("uid").alias("representative"), F.countDistinct("uid").alias("copies"))
