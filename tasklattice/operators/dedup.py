@@ -73,7 +73,10 @@ def near_copies(rows: DataFrame, threshold: float = 0.99, block: int = 400) -> D
                     out.append((uids[i], uids[hit]))
         return pd.DataFrame(out, columns=["first_uid", "kept_uid"])
 
-    near = spread.select("company_id", "title", "step", "first_uid", "t", "text").groupBy("company_id", "title", "step").applyInPandas(greedy, "first_uid string, kept_uid string").groupBy("first_uid").agg(F.min("kept_uid").alias("kept_uid"))
+    # Most firms use a title once: only blocks of two texts or more go to Python.
+    blocks = spread.groupBy("company_id", "title", "step").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    spread = spread.select("company_id", "title", "step", "first_uid", "t", "text").join(blocks, ["company_id", "title", "step"], "left_semi")
+    near = spread.groupBy("company_id", "title", "step").applyInPandas(greedy, "first_uid string, kept_uid string").groupBy("first_uid").agg(F.min("kept_uid").alias("kept_uid"))
     heads = first.select("company_id", "title", "h", "first_uid").join(near, "first_uid", "left").withColumn("kept_uid", F.coalesce("kept_uid", "first_uid"))
     return own.select("uid", "company_id", "title", "h").join(heads, ["company_id", "title", "h"]).select("uid", "kept_uid")
 
