@@ -244,7 +244,7 @@ def mapped(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD
     right = refs.select("form").distinct().mapInPandas(add_pairs, f"form string, {SET_COLUMNS}")
     sure = similar_sets(left, right, threshold).mapInPandas(confirm, "window string, form string, jaccard double, plain double, short double").join(refs, "form")
     # Of one window only the best entry of either kind can win: no hot window meets all its forms again.
-    order = lambda c: F.max(F.when(F.col(c) > 0, F.struct(F.col(c).alias("agreement"), F.length("form").alias("n"), "jaccard", (-F.col("isco_code").cast("int")).alias("tie"), "isco_code")))
+    order = lambda c: F.max(F.when(F.col(c) > 0, F.struct(F.col(c).alias("agreement"), F.length("form").alias("n"), "jaccard", (-F.col("isco_code").try_cast("int")).alias("tie"), "isco_code")))
     best = sure.groupBy("window").agg(order("plain").alias("plain"), order("short").alias("short"))
     pick = F.when(F.col("abbreviated"), F.col("short")).otherwise(F.col("plain"))
     # Longer windows that agree as well explain more of the value.
