@@ -1,13 +1,18 @@
 """Text columns: normalising, keywords, hashes, simple language marks.
 
-All are built from native expressions; null in gives null out unless said
-otherwise.
+All but the four of :data:`WHOLE` are built from native expressions; null in
+gives null out unless said otherwise.
 """
 
 from __future__ import annotations
 
+import hashlib
+import html
 import re
+import unicodedata
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -193,3 +198,58 @@ def year_prefix(c: Column, least: int = 2000, most: int = 2030) -> Column:
     """The year in the first four characters, null outside the range."""
     y = F.substring(c, 1, 4).try_cast("int")
     return F.when(y.between(least, most), y)
+
+
+# Latin letters that no decomposition takes apart.
+_LETTERS = str.maketrans({"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH", "ł": "l", "Ł": "L", "ı": "i", "ħ": "h", "Ħ": "H", "ŋ": "n", "Ŋ": "N", "ŧ": "t", "Ŧ": "T"})
+
+
+def _collapsed(t: str) -> str:
+    return re.sub(r"\s+", " ", t).strip()
+
+
+def ascii_of(t: str | None) -> str | None:
+    """Decomposed, without what is beyond ASCII, lower case, single blanks."""
+    return None if t is None else _collapsed(unicodedata.normalize("NFD", t).encode("ascii", "ignore").decode("ascii").lower())
+
+
+def unaccented_of(t: str | None) -> str | None:
+    """Without accents, lower case; runs of signs that are no letter or digit of
+    any script are one blank."""
+    if t is None:
+        return None
+    plain = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", t.translate(_LETTERS)))
+    return _collapsed(re.sub(r"[\W_]+", " ", unicodedata.normalize("NFC", plain).lower()))
+
+
+def html_text_of(t: str | None) -> str:
+    """Entities decoded, then tags left out, NFKC, lower case, single blanks; null
+    becomes empty."""
+    return "" if t is None else _collapsed(unicodedata.normalize("NFKC", re.sub(r"<[^>]+>", " ", html.unescape(t))).lower())
+
+
+def md5_of(t: str | None) -> str:
+    """Digest of the lower-case text with single blanks; null counts as ''."""
+    return hashlib.md5(_collapsed((t or "").lower()).encode()).hexdigest()
+
+
+#: Normalisers for text of any script, which native expressions cannot follow.
+WHOLE = (ascii_of, unaccented_of, html_text_of, md5_of)
+
+
+def each(f: Callable[[str | None], str | None], c: Column) -> Column:
+    """``f`` of every text, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([f(None if t is None or t is pd.NA else t) for t in texts], dtype=object)
+
+    return run(c)
+
+
+def text_array(c: Column) -> Column:
+    """The trimmed parts of a list written with brackets, quotes and commas; null
+    for null, 'null' and lists without any part."""
+    bare = F.regexp_replace(c, r"""[\[\]{}'"]""", "")
+    parts = F.filter(F.transform(F.split(bare, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.when((F.trim(c) != "null") & (F.size(parts) > 0), parts)

@@ -169,6 +169,12 @@ def cast_text_array(spark, d):
     return rows.select("uid", F.filter(F.split(c, r"\s*,\s*"), lambda x: x != "").alias("parts")).distinct()
 
 
+@q()
+def cast_text_array_all(spark, d):
+    """All ads, also those whose list is null, empty or set between blanks."""
+    return table(spark, d, "job_postings_unified").select("uid", T.text_array(F.col("x28_occupations")).alias("parts")).distinct()
+
+
 @q()
 def text_occurrences(spark, d):
     return O.occurrences(table(spark, d, "job_postings_unified").select("uid", "content_clean").distinct(), "uid", "content_clean")

@@ -28,12 +28,24 @@ def text_normalize_ascii(spark, d):
     return rows.select("doc_id", T.normalize_ascii(F.col("text")).alias("t"))
 
 
+@q()
+def text_normalize_ascii_all(spark, d):
+    """All documents, of any language, source and script."""
+    return table(spark, d, "documents").select("doc_id", T.each(T.ascii_of, F.col("text")).alias("t"))
+
+
 @q(f"select uid, md5({_NORM}) as h from {_ADS} where not regexp_matches(content_clean, '[^\\x00-\\xFF]')")
 def text_normalize_db(spark, d):
     rows = _ads(spark, d).filter(~F.col("content_clean").rlike(r"[^\x00-\xFF]"))
     return rows.select("uid", F.md5(T.normalize_db(F.col("content_clean")).cast("binary")).alias("h"))
 
 
+@q()
+def text_normalize_db_all(spark, d):
+    """All ads that have a text, of any script."""
+    return _ads(spark, d).select("uid", F.md5(T.each(T.unaccented_of, F.col("content_clean")).cast("binary")).alias("h"))
+
+
 @q("select distinct title, coalesce(trim(regexp_replace(regexp_replace(lower(title), '[“”„«»‘’'']', '\"', 'g'), '\\s+', ' ', 'g')), '') as canonical from job_postings_unified")
 def text_canonicalize(spark, d):
     return table(spark, d, "job_postings_unified").select("title", T.canonicalize(F.col("title")).alias("canonical")).distinct()
@@ -55,6 +67,12 @@ def text_html_clean(spark, d):
     return rows.select("doc_id", T.html_clean(F.col("text")).alias("t"))
 
 
+@q()
+def text_html_clean_all(spark, d):
+    """All documents, with or without tags and entities."""
+    return table(spark, d, "documents").select("doc_id", T.each(T.html_text_of, F.col("text")).alias("t"))
+
+
 def _any(terms, column):
     k = T.pattern_classes(terms)
     parts = [T.word_pattern(t) for t in k["dotted"] + k["short"]] + k["long"] + [T.flexible_phrase(t) for t in k["phrase"]]
@@ -106,6 +124,12 @@ def hash_md5_content(spark, d):
     return rows.select("doc_id", T.md5_content(F.col("text")).alias("h"))
 
 
+@q()
+def hash_md5_content_all(spark, d):
+    """All documents, of any script."""
+    return table(spark, d, "documents").select("doc_id", T.each(T.md5_of, F.col("text")).alias("h"))
+
+
 @q("select distinct app_text, upper(md5(app_text)) as app_id from similarity_df")
 def hash_md5_app_id(spark, d):
     return table(spark, d, "similarity_df").select("app_text", T.app_id(F.col("app_text")).alias("app_id")).distinct()

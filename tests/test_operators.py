@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -70,6 +72,22 @@ def test_codes(spark):
     assert [r[0] for r in df.select(T.codes(F.col("c"))).collect()] == [["1", "2"]] * 4 + [[]] * 3
 
 
+def test_whole_tables_are_normalised(spark, tmp_path):
+    from tasklattice.queries import exchange, texts
+
+    docs = {1: "Größe  Łódź – Ünï\u00a0X!", 2: None, 3: "&lt;b&gt;Caf&eacute;&lt;/b&gt; <p>ﬁn &amp; Ｏk</p>", 4: "Привет, мир", 5: "\u2003Straße\tİ"}
+    spark.createDataFrame([(k, t, None, "web") for k, t in docs.items()], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    ads = [("a", "Œuvre № 1_ß", " ['x1' , \"y2\"] "), ("b", "Привет—мир", "[]"), ("c", None, None), ("d", "é", "null"), ("e", "e", "7")]
+    spark.createDataFrame([(u, "t", "f", t, x) for u, t, x in ads], "uid string, title string, company_name string, content_clean string, x28_occupations string").write.parquet(f"{tmp_path}/job_postings_unified.parquet")
+    got = lambda q, n: {r[0]: r[1] for r in q[n](spark, str(tmp_path)).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got(texts.QUERIES, "text_normalize_ascii_all") == {1: "groe odz unix!", 2: None, 3: "&lt;b&gt;caf&eacute;&lt;/b&gt; <p>n &amp; k</p>", 4: ",", 5: "strae i"}
+    assert got(texts.QUERIES, "text_html_clean_all") == {1: "größe łódź – ünï x!", 2: "", 3: "café fin & ok", 4: "привет, мир", 5: "straße i̇"}
+    assert got(texts.QUERIES, "hash_md5_content_all") == {k: md5(" ".join((t or "").lower().split())) for k, t in docs.items()}
+    assert got(texts.QUERIES, "text_normalize_db_all") == {"a": md5("oeuvre no 1 ss"), "b": md5("привет мир"), "d": md5("e"), "e": md5("e")}
+    assert got(exchange.QUERIES, "cast_text_array_all") == {"a": ["x1", "y2"], "b": None, "c": None, "d": None, "e": ["7"]}
+
+
 def test_near_copies(spark):
     base = " ".join(f"wort{i}" for i in range(300))
     rows = [("a", 1, "t", base, "2020-01-01"), ("b", 1, "t", base + " ende", "2020-01-02"), ("c", 1, "t", "ganz anderer text hier", "2020-01-03"), ("d", 2, "t", base, "2020-01-01"), ("e", 1, "t", base, "2020-02-01")]
