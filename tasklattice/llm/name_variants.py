@@ -5,12 +5,13 @@ the firm recruits. Profiles that share a blocking key are compared; matching one
 merge, which unites their spellings, initials and forms; the richer profiles enter
 blocking again, until no profile merges any more.
 
-Blocking keys are the words of a spelling with up to two letters left out, so two
-words within two edits share a key. A key of many profiles (a line of business, or
-a firm of very many spellings) is refined: the word itself with each word beside
-it, which may lack a letter; where that is still too many, by form and vote, and
-each profile meets the first. Merged profiles collapse into one, so the key of a
-firm has few profiles left in the next rounds and its other spellings meet then.
+Any two spellings that match share a blocking key: the words with up to two
+letters left out, so that two words within two edits meet, the full names of
+nicknames, and for names with shortened words the initials. A key of many profiles
+(a line of business, or a firm of very many spellings) is refined without loss: the
+key with each key of each other word (all deletions together two at most) or, if
+one of the two is shortened, with its initial. What is still large is compared
+whole, in slices.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from tasklattice.llm.common import fold
 from tasklattice.plans.components import components
 from tasklattice.plans.lineage import cut
 
-#: Blocks of up to so many profiles compare all of them.
+#: Keys of more profiles than this are refined.
 BLOCK = 48
+#: Most profiles of a key in one slice.
+SLICE = 512
 
 # Words that withhold a name.
 PLACEHOLDERS = frozenset("anonym anonyme anonimo anonymous vertraulich confidentiel confidenziale confidential diskret discret na ka kein keine keineangabe unbekannt inconnu sconosciuto unknown none null nan unserkunde notreclient nostrocliente ourclient kunde client firma company tbd xxx".split())
@@ -151,22 +154,61 @@ def name_cost(a: list[str], b: list[str], most: int = 2) -> int:
     return d if d <= most and any(w[-1] != "." and len(w) > 3 for w in a) and any(w[-1] != "." and len(w) > 3 for w in b) else 9
 
 
-def without_letters(word: str, most: int) -> set[str]:
-    out = {word}
-    last = {word}
-    for _ in range(most):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w)) if len(w) > 3}
-        out |= last
+def _key(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\x1f".join(parts)) - 2**63
+
+
+@lru_cache(50_000)
+def _signatures(word: str) -> dict[str, int]:
+    """What a whole word shares with every whole word that matches it, and the
+    letters left out for it."""
+    most = 2 if len(word) >= 5 else 1 if len(word) >= 4 else 0
+    out = {"~" + f: 0 for f in (*_FULL.get(word, ()), *([word] if word in NICKNAMES else []))}
+    for w in {word, _DIGRAPH.sub(r"\1", word)}:
+        last = {w}
+        for n in range(most + 1):
+            for v in last:
+                out[v] = min(n, out.get(v, n))
+            last = {v[:i] + v[i + 1 :] for v in last for i in range(len(v)) if len(v) > 1}
     return out
 
 
-def _key(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(parts)) - 2**63
+def _initials(words: list[str]) -> set[int]:
+    """Names that match by shortened words only hold one each and have the same
+    initials."""
+    return {_key("initials", *sorted(w[0] for w in words))} if any(w[-1] == "." for w in words) else set()
 
 
 def _outer_keys(spelling: str) -> set[int]:
-    ws = [w for w in spelling.split(" ") if w[-1] != "."]
-    return {_key(v) for w in ws for v in without_letters(w, 2 if len(w) >= 5 else 1 if len(w) >= 4 else 0)}
+    ws = spelling.split(" ")
+    return {_key(v) for w in ws if w[-1] != "." for v in _signatures(w)} | _initials(ws)
+
+
+def _refined_keys(spelling: str, hot: set[int]) -> dict[int, bool]:
+    """The finer keys for the hot ones of a spelling. False: only profiles with
+    True need to meet this one (a whole word beside shortened ones)."""
+    ws = spelling.split(" ")
+    n = str(len(ws))
+    out = {k: True for k in _initials(ws) & hot}
+    for k, w in enumerate(ws):
+        if w[-1] == ".":
+            continue
+        for v, d in _signatures(w).items():
+            if _key(v) not in hot:
+                continue
+            if len(ws) == 1:
+                out[_key(v, "", n)] = True
+            for j, o in enumerate(ws):
+                if j == k:
+                    continue
+                short = o[-1] == "."
+                at = _key("initial", v, o[0], n)
+                out[at] = short or out.get(at, False)
+                if not short:
+                    out |= {_key(*sorted((v, x)), n): True for x, e in _signatures(o).items() if d + e <= 2}
+                    if len(ws) >= 3 and v == w:  # a spelling that lacks words has the others whole
+                        out[_key("whole", *sorted((w, o)))] = True
+    return out
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,17 +221,15 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for i in range(0, len(b), 500):
-            part, rows = b.iloc[i : i + 500], set()
+        for i in range(0, len(b), 100):
+            part, rows = b.iloc[i : i + 100], []
             for p, ss, hot in zip(part["pid"], part["spellings"], part["hot"], strict=True):
-                hot = set(hot)
+                hot, own = set(hot), {}
                 for s in ss:
-                    ws = [w for w in s.split(" ") if w[-1] != "."]
-                    for k, w in enumerate(ws):
-                        if _key(w) in hot:
-                            others = {v for j, o in enumerate(ws) if j != k for v in without_letters(o, 1 if len(o) >= 4 else 0)} or {""}
-                            rows |= {(p, _key(w, v)) for v in others}
-            yield pd.DataFrame(sorted(rows), columns=["pid", "key"])
+                    for k, asks in _refined_keys(s, hot).items():
+                        own[k] = asks or own.get(k, False)
+                rows += [(p, k, asks) for k, asks in own.items()]
+            yield pd.DataFrame(rows, columns=["pid", "key", "asks"])
 
 
 def _matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,16 +248,16 @@ def _candidates(profiles: DataFrame) -> DataFrame:
     keys = cut(profiles.select("pid", "spellings").mapInPandas(_keys, "pid bigint, key bigint"))
     counted = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "key"))
     small = counted.filter(F.col("n") <= BLOCK).select("key", "pid")
-    hot = counted.filter(F.col("n") > BLOCK).groupBy("pid").agg(F.collect_list("key").alias("hot"))
-    fine = cut(profiles.join(hot, "pid").select("pid", "spellings", "hot").mapInPandas(_refined, "pid bigint, key bigint"))
-    sized = cut(fine.join(fine.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "key"))
-    small = small.unionByName(sized.filter(F.col("n") <= BLOCK).select("key", "pid"))
     pairs = small.join(small.select("key", F.col("pid").alias("b")), "key").filter(F.col("pid") < F.col("b")).select(F.col("pid").alias("a"), "b")
-    # Still hot: one firm's very many spellings. Each meets the first of its form and vote.
-    crowd = sized.filter(F.col("n") > BLOCK).join(profiles.select("pid", F.concat_ws(",", "forms", F.col("recruits").cast("string")).alias("kind")), "pid")
-    first = crowd.groupBy("key", "kind").agg(F.min("pid").alias("a"))
-    star = crowd.join(first, ["key", "kind"]).filter(F.col("a") < F.col("pid")).select("a", F.col("pid").alias("b"))
-    return cut(pairs.unionByName(star).distinct())
+    hot = counted.filter(F.col("n") > BLOCK).groupBy("pid").agg(F.collect_list("key").alias("hot"))
+    fine = cut(profiles.join(hot, "pid").select("pid", "spellings", "hot").mapInPandas(_refined, "pid bigint, key bigint, asks boolean"))
+    sizes = fine.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("asks").alias("asked")).filter((F.col("n") > 1) & F.col("asked"))
+    sized = cut(fine.join(sizes.select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), "key"))
+    # Who asks goes to every slice of the key, so each pair meets once.
+    asking = sized.filter("asks").select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("pid").alias("p"))
+    asked = sized.select("key", F.pmod(F.xxhash64("pid"), F.col("slices")).cast("int").alias("slice"), F.col("pid").alias("q"), "asks")
+    met = asking.join(asked, ["key", "slice"]).filter((F.col("p") < F.col("q")) | ~F.col("asks"))
+    return cut(pairs.unionByName(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct())
 
 
 def firms(rows: DataFrame) -> DataFrame:
