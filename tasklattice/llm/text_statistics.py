@@ -135,6 +135,12 @@ def wrapped(lines: list[str]) -> bool:
     return max(n) >= 40 and min(n[:-1], default=0) >= 0.6 * max(n)
 
 
+def stacked(s: dict[str, float]) -> bool:
+    """Whether the lines stand in a pattern that prose has not: indented in a
+    period, or short and of lengths that come again in a period."""
+    return s["n_lines"] >= 6 and (s["indent_period"] >= 0.5 or s["length_autocorrelation"] >= 0.6 and s["short_line_share"] >= 0.9)
+
+
 def kind(text: str | None, s: dict[str, float] | None = None) -> str:
     """``prose``, ``list``, ``table`` or ``junk``; a null or blank text is junk."""
     text = text or ""
@@ -164,6 +170,8 @@ def kind(text: str | None, s: dict[str, float] | None = None) -> str:
         return "junk"
     if len(_TEMPLATE.findall(text)) >= max(1, len(lines) / 2):
         return "junk"
+    if stacked(s) and s["n_words"] <= 8 * len(lines):
+        return "list"
     if sentences and share >= 0.5 and (stops or len(lines) <= 2 or wrapped(lines)):
         return "prose"
     if len(_MENU.findall(text)) >= 3 * len(lines) and s["common_share"] < 0.2:

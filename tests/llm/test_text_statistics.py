@@ -31,6 +31,17 @@ def test_kinds(text):
     assert kind(text) == CASES[text]
 
 
+# Items without a marker that end in full stops and hold a frequent word each.
+INDENTED = "\n".join("  " * (i % 2) + x for i, x in enumerate(("Pflege der Kunden.", "Besuche mit dem Team.", "Arbeit in der Werkstatt.", "Löten und Fräsen.", "Planung für das Lager.", "Annahme der Ware.", "Fahren im Bezirk.", "Touren und Karten.")))
+LENGTHS = "\n".join(f"{a} und {b} der Kunden im Bezirk.\nMit {c}." for a, b, c in (("Verkauf", "Beratung", "Team"), ("Pflege", "Besuche", "Auto"), ("Planung", "Annahme", "Plan"), ("Einkauf", "Ausgabe", "Lohn")))
+
+
+def test_periods_decide():
+    assert kind(INDENTED) == "list" and kind(LENGTHS) == "list"
+    assert kind("\n".join(x.strip() for x in INDENTED.splitlines())) == "prose"
+    assert kind("\n".join([PROSE] * 2 + ["    " + PROSE.replace("frei", "offen")] * 2 + [PROSE.replace("gern", "oft")] * 3)) == "prose"
+
+
 def test_statistics():
     s = statistics("a;b\nc;d\n")
     assert s["n_lines"] == 2 and s["delimiter_alignment"] == 1 and s["n_words"] == 4
