@@ -16,67 +16,81 @@ _TOKEN = re.compile(r"\b\w\w+\b")
 STOP = frozenset("the and of to in is it for on with as at by an be this that from or are was we you our your".split())
 
 
-def tfidf(texts: list[str]) -> np.ndarray:
-    """Rows of length one: words and pairs of words, smooth inverse document
-    frequency over the group, the most frequent min(5000, 100 n) terms."""
+def tfidf(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Terms and weights of each text, of length one, and the number of terms:
+    words and pairs of words, smooth inverse document frequency over the group,
+    the most frequent min(5000, 100 n) terms."""
     bags = []
     for t in texts:
         ws = [w for w in _TOKEN.findall(t.lower()) if w not in STOP]
         bags.append(Counter(ws) + Counter(f"{a} {b}" for a, b in zip(ws, ws[1:])))
-    total = Counter()
+    total, df = Counter(), Counter()
     for b in bags:
         total.update(b)
+        df.update(b.keys())
     terms = {t: i for i, (t, _) in enumerate(sorted(total.items(), key=lambda x: (-x[1], x[0]))[: min(5000, 100 * len(texts))])}
-    x = np.zeros((len(texts), max(1, len(terms))))
-    for i, b in enumerate(bags):
-        for t, n in b.items():
-            if t in terms:
-                x[i, terms[t]] = n
-    df = (x > 0).sum(axis=0)
-    x *= np.log((1 + len(texts)) / (1 + df)) + 1
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    out = []
+    for b in bags:
+        own = [(terms[t], n * (math.log((1 + len(texts)) / (1 + df[t])) + 1)) for t, n in b.items() if t in terms]
+        at, weight = np.array([i for i, _ in own], dtype=np.int64), np.array([w for _, w in own], dtype=float)
+        out.append((at, weight / max(float(np.linalg.norm(weight)), 1e-12)))
+    return out, max(1, len(terms))
+
+
+def first_alike(texts: list[str], threshold: float, block: int) -> list[int | None]:
+    """For each text the first earlier one that is kept and whose cosine reaches
+    ``threshold``; None for those that are kept. Only two blocks of texts are dense
+    at a time."""
+    rows, width = tfidf(texts)
+
+    def dense(which: list[int]) -> np.ndarray:
+        x = np.zeros((len(which), width))
+        for k, i in enumerate(which):
+            x[k, rows[i][0]] = rows[i][1]
+        return x
+
+    kept: list[int] = []
+    hits: list[int | None] = [None] * len(texts)
+    for s in range(0, len(texts), block):
+        new = list(range(s, min(len(texts), s + block)))
+        x = dense(new)
+        for k in range(0, len(kept), block):
+            near = x @ dense(kept[k : k + block]).T >= threshold
+            for i in np.flatnonzero(near.any(axis=1)):
+                if hits[s + i] is None:
+                    hits[s + i] = kept[k + int(near[i].argmax())]
+        near = x @ x.T >= threshold
+        for i in range(len(new)):
+            if hits[s + i] is None:
+                hits[s + i] = next((s + int(j) for j in np.flatnonzero(near[i, :i]) if hits[s + j] is None), None)
+        kept += [i for i in new if hits[i] is None]
+    return hits
 
 
 def near_copies(rows: DataFrame, threshold: float = 0.99, block: int = 400) -> DataFrame:
     """``rows`` has uid, company_id, title, content_clean, tst_created: (uid,
-    kept_uid), where kept_uid is the uid itself or that of the earlier ad of the
-    same firm and title whose TF-IDF cosine reaches ``threshold``.
+    kept_uid), where kept_uid is the uid itself or that of the first earlier ad of
+    the same firm and title that is kept and whose TF-IDF cosine reaches
+    ``threshold``.
 
-    Exact copies are set aside first, by a join on their digest. Ads of one firm
-    and title are compared in blocks of texts of like length: a cosine of 0.99
-    leaves no room for texts of very different length, so the blocks follow the
-    length in steps of a tenth and each text is in its own and the next step.
+    Exact copies are set aside first, by a join on their digest. Terms and weights
+    are those of all texts of one firm and title, whatever their length, and all
+    these texts are compared, ``block`` by ``block``.
     """
     digest = F.md5(F.col("content_clean").cast("binary"))
     own = rows.withColumn("h", digest)
     first = own.groupBy("company_id", "title", "h").agg(F.min_by("uid", F.struct("tst_created", "uid")).alias("first_uid"), F.min("tst_created").alias("t"), F.first("content_clean").alias("text"))
-    step = F.floor(F.log(F.length("text") + 1) / math.log(1.1)).cast("int")
-    spread = first.filter(F.length("text") > 0).withColumn("step", F.explode(F.array(step, step + 1)))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "first_uid"], na_position="last")
-        uids, texts = pdf["first_uid"].tolist(), pdf["text"].tolist()
-        out = []
-        if len(uids) > 1:
-            x = tfidf(texts)
-            kept: list[int] = []
-            for i in range(len(uids)):
-                hit = None
-                for s in range(0, len(kept), block):
-                    c = x[kept[s : s + block]] @ x[i]
-                    if c.size and c.max() >= threshold:
-                        hit = kept[s + int(c.argmax())]
-                        break
-                if hit is None:
-                    kept.append(i)
-                else:
-                    out.append((uids[i], uids[hit]))
-        return pd.DataFrame(out, columns=["first_uid", "kept_uid"])
-
-    # Most firms use a title once: only blocks of two texts or more go to Python.
-    blocks = spread.groupBy("company_id", "title", "step").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    spread = spread.select("company_id", "title", "step", "first_uid", "t", "text").join(blocks, ["company_id", "title", "step"], "left_semi")
-    near = spread.groupBy("company_id", "title", "step").applyInPandas(greedy, "first_uid string, kept_uid string").groupBy("first_uid").agg(F.min("kept_uid").alias("kept_uid"))
+        uids = pdf["first_uid"].tolist()
+        hits = first_alike(pdf["text"].tolist(), threshold, block)
+        return pd.DataFrame([(u, uids[i]) for u, i in zip(uids, hits, strict=True) if i is not None], columns=["first_uid", "kept_uid"])
+
+    # Most firms use a title once: only groups of two texts or more go to Python.
+    groups = first.groupBy("company_id", "title").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    several = first.select("company_id", "title", "first_uid", "t", "text").join(groups, ["company_id", "title"], "left_semi")
+    near = several.groupBy("company_id", "title").applyInPandas(greedy, "first_uid string, kept_uid string")
     heads = first.select("company_id", "title", "h", "first_uid").join(near, "first_uid", "left").withColumn("kept_uid", F.coalesce("kept_uid", "first_uid"))
     return own.select("uid", "company_id", "title", "h").join(heads, ["company_id", "title", "h"]).select("uid", "kept_uid")
 

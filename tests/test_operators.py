@@ -95,6 +95,26 @@ def test_near_copies(spark):
     assert {r.uid: r.kept_uid for r in dedup.near_copies(df).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "a"}
 
 
+def test_near_copies_of_any_length(spark):
+    base = " ".join(f"wort{i}" for i in range(300))
+    rows = [("a", 1, "t", base, "2020-01-01"), ("b", 1, "t", f"{base} {base}", "2020-01-02"), ("c", 1, "t", "", "2020-01-03")]
+    df = spark.createDataFrame(rows, "uid string, company_id int, title string, content_clean string, tst_created string")
+    assert {r.uid: r.kept_uid for r in dedup.near_copies(df).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_near_copies_equal_one_matrix_over_the_group():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 12, size=rng.integers(3, 40))) for _ in range(60)] * 2
+    rows, width = dedup.tfidf(texts)
+    x = np.zeros((len(texts), width))
+    for i, (at, weight) in enumerate(rows):
+        x[i, at] = weight
+    c, want = x @ x.T, []
+    for i in range(len(texts)):
+        want.append(next((j for j in range(i) if want[j] is None and c[i, j] >= 0.6), None))
+    assert dedup.first_alike(texts, 0.6, 7) == want == dedup.first_alike(texts, 0.6, 400) and any(want)
+
+
 def test_similarity_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(70, 8)).astype(np.float32), rng.normal(size=(90, 8)).astype(np.float32)
