@@ -13,26 +13,31 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tasklattice.llm import languages
-from tasklattice.llm.common import bounded_sample
+from tasklattice.plans.lineage import cut
+from tasklattice.plans.skew import join_groups_back
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "other_language")
 
 # Words for nothing.
 NOTHING = frozenset("na nan null none nil nichts keine kein keines leer entfallt rien aucun aucune neant vide niente nessuno nessuna vuoto nothing empty notapplicable nonapplicable nonapplicabile nichtzutreffend undefined unknown nodata keinedaten".split())
 
-# Phrases of refusal.
-REFUSAL = re.compile(
-    r"\b(?:(?:i|we) (?:can(?:no|')t|cannot|won't|will not|am unable|'m unable|am not able|'m not able|must decline|have to decline|refuse|decline)|unable to (?:answer|help|extract|process|complete|provide|assist|fulfil)|not possible for me|must decline|against my (?:guidelines|policy|policies)|(?:don't|do not) have enough information|as an? (?:ai |artificial |large )?(?:language model|assistant|ai\b)|i'?m sorry|i am sorry|i apologi[sz]e|unfortunately\b.{0,60}\b(?:not|cannot|can't|unable)"
-    r"|(?:es )?tut mir leid|bedau[e]?re\b|leider (?:kann|darf|ist|bin|habe|muss)\b|als (?:ki[- ]?)?sprachmodell|als ki\b|(?:bin|sehe mich) nicht in der lage|(?:kann|darf) ich (?:\w+ ){0,4}nicht|ich (?:kann|darf|werde) (?:\w+ ){0,4}nicht|nicht moglich, (?:dies|das|diese)|muss ich ablehnen|verstosst gegen meine"
-    r"|desole|je (?:ne peux|ne puis|ne suis pas en mesure|ne saurais|refuse|regrette)|impossible (?:pour moi )?de (?:repondre|traiter|fournir|vous aider|donner)|m'est impossible|en tant qu(?:e modele|'ia|'assistant|e modele de lang)|malheureusement\b.{0,60}\b(?:pas|impossible)|contraire a mes (?:regles|directives)"
-    r"|mi dispiace|(?:io )?non (?:posso|sono in grado|mi e possibile)|come (?:modello linguistico|intelligenza artificiale|assistente)|purtroppo\b.{0,60}\b(?:non|impossibile)|devo rifiutare|contro le mie (?:linee|regole)"
-    r"|lo siento|no puedo|como modelo de lenguaje|desculpe|nao posso|como modelo de linguagem|het spijt me|ik kan (?:\w+ ){0,3}niet|als taalmodel|przykro mi|nie moge)\b"
-)
+# How a refusal speaks, in German, French, Italian, English and a few
+# more languages, without accents. A speaker, a negation and a verb of answering
+# must come together, so that tasks that can't be done by hand are none.
+_SELF = r"(?:as an? (?:ai |artificial |large )*(?:language model|assistant|ai\b)|als (?:ki[- ]?)?(?:sprachmodell|assistent|ki\b)|en tant qu(?:e modele|'ia\b|'assistant|'intelligence)|come (?:modello linguistico|intelligenza artificiale|assistente)|como modelo de (?:lenguaje|linguagem)|als taalmodel)"
+_SORRY = r"(?:i'?m sorry|i am sorry|sorry|i apologi[sz]e|unfortunately|(?:es )?tut mir (?:sehr )?leid|(?:ich )?bedau[e]?re\b|leider|desolee?|je suis desolee?|je regrette|malheureusement|mi dispiace|purtroppo|lo siento|desculpe|het spijt me|przykro mi)"
+_SPEAKER = r"\b(?:i|i'?m|me|my|we|ich|mir|mich|je|j'|moi|m'|me|nous|io|mi|mio|posso|sono|puedo|possa|ik|moge|this request|your request|diese anfrage|ihre anfrage|cette demande|votre demande|questa richiesta)(?:\b|(?<='))"
+_NOT = r"\b(?:not|cannot|can'?t|won'?t|unable|don'?t|refuse|decline|nicht|kein\w*|ablehnen|unmoglich|pas|impossible|ne puis|ne saurais|refuse|non|impossibile|rifiut\w+|no|nao|niet|nie)\b"
+_REPLY = r"\b(?:help|assist|answer|respond|provide|process|complete|comply|extract|fulfill?|generate|continue|support|do (?:this|that|so)|(?:weiter)?helfen|(?:be)?antworten|bearbeiten|liefern|bereitstellen|ausfuhren|erfullen|nachkommen|unterstutzen|extrahieren|verarbeiten|erstellen|entsprechen|repondre|traiter|fournir|aider|donner|satisfaire|effectuer|realiser|extraire|accomplir|generer|rispondere|aiutar\w*|fornire|elaborare|soddisfare|trattare|estrarre|eseguire|completare|ayudar\w*|responder|ajudar|helpen|beantwoorden|pomoc|odpowiedziec)\b"
+_PLAINLY = r"against my (?:guidelines|polic(?:y|ies))|\bi (?:must|have to) (?:decline|refuse)|\bi (?:refuse|decline) to\b|\bi (?:do not|don't) have enough information|verstosst gegen meine|muss ich ablehnen|contraire a mes (?:regles|directives)|contro le mie (?:linee|regole)|devo rifiutare"
+_PLAIN_REFUSAL, _BEGINS, _HAS_NOT, _HAS_SPEAKER, _HAS_REPLY = re.compile(_PLAINLY), re.compile(rf"\W*(?:{_SELF}|{_SORRY})"), re.compile(_NOT), re.compile(_SPEAKER), re.compile(_REPLY)
+_FIRST_PERSON = re.compile(r"\b(?:i (?:can(?:no|'?)t|can not|won'?t|will not|am (?:unable|not able)|do not|don't)|i'm (?:unable|not able)|(?:kann|darf|werde|konnte|mochte) ich|ich (?:kann|darf|werde|bin|konnte)|je (?:ne|n')|(?:il )?m'est impossible|impossible (?:pour moi )?de|(?:io )?non (?:posso|sono in grado|mi e possibile|riesco)|no puedo|nao posso|ik kan|nie moge)\b|^\W*unable to\b")
 
 _FENCE = re.compile(r"```[a-zA-Z]*")
 _WRAP = re.compile(r"^\s*(?:(?:output|input|answer|response|result|antwort|ausgabe|eingabe|ergebnis|reponse|réponse|sortie|entree|entrée|resultat|résultat|risposta|uscita|ingresso|risultato|here is the (?:list|answer|result)|hier ist die (?:liste|antwort))\s*:\s*)+", re.I)
@@ -42,8 +47,16 @@ _WORD = re.compile(r"[^\W\d_]+")
 HANGING = frozenset("der die das den dem des ein eine einen einem einer und oder von zu mit für auf aus bei nach über durch le la les un une des du de et ou à au aux avec pour sur dans par en il lo gli i uno di da del della dei delle con per su tra e o the a an of and or to with for on in by from at".split())
 
 
+_ACCENTS = re.compile("[\u0300-\u036f]")
+_FAR = re.compile("[^\x00-\u036f\u2000-\u206f\u20a0-\u20cf]")
+
+
 def plain(text: str) -> str:
-    return "".join(ch for ch in unicodedata.normalize("NFKD", text.replace("’", "'")).casefold() if not unicodedata.combining(ch))
+    """Case folded, without accents, with straight apostrophes."""
+    if text.isascii():
+        return text.lower()
+    t = unicodedata.normalize("NFKD", text.replace("’", "'")).casefold()
+    return "".join(ch for ch in t if not unicodedata.combining(ch)) if _FAR.search(t) else _ACCENTS.sub("", t)
 
 
 def unwrapped(text: str) -> str:
@@ -83,18 +96,38 @@ def items_of(text: str | None) -> tuple[list[str], bool]:
     return [x.strip() for x in t.splitlines() if x.strip()], closed
 
 
+_NOT_ALNUM = re.compile(r"[\W_]+")
+
+
 def letters(text: str) -> str:
-    return "".join(ch for ch in plain(text) if ch.isalnum())
+    return _NOT_ALNUM.sub("", plain(text))
 
 
 def is_empty(items: list[str], text: str | None) -> bool:
-    return not text or all(letters(x) in NOTHING or not letters(x) for x in items) or letters(unwrapped(text)) in NOTHING or not letters(unwrapped(text))
+    if not text or (len(text) > 200 and any(len(x) > 100 for x in items)):
+        return not text
+    rest = letters(unwrapped(text))
+    return not rest or rest in NOTHING or all((x := letters(i)) in NOTHING or not x for i in items)
+
+
+def declines(statement: str) -> bool:
+    """Whether one statement refuses to answer: it says so plainly, or it is an
+    apology or speaks as a model, is negated and is about the speaker or about
+    answering, or the speaker can't do something that is answering."""
+    t = plain(statement)
+    if _PLAIN_REFUSAL.search(t):
+        return True
+    if not _HAS_NOT.search(t):
+        return False
+    if _BEGINS.match(t):
+        return bool(_HAS_REPLY.search(t) or _HAS_SPEAKER.search(t))
+    return bool(_FIRST_PERSON.search(t) and _HAS_REPLY.search(t))
 
 
 def is_refusal(items: list[str]) -> bool:
-    """A short answer that declines."""
-    head = plain(" ".join(items[:2]))
-    return len(items) <= 3 and sum(len(_WORD.findall(x)) for x in items) <= 60 and bool(REFUSAL.search(head))
+    """The first statement declines, or half of all statements do."""
+    said = [x for x in items if x.strip()]
+    return bool(said) and (declines(said[0]) or 2 * sum(map(declines, said)) >= len(said))
 
 
 def is_copy(prompt: list[str], response: list[str]) -> bool:
@@ -126,11 +159,16 @@ def is_truncated(items: list[str], closed: bool, text: str) -> bool:
     return len(items) >= 2 and not stops[-1] and all(stops[:-1])
 
 
-_SCRIPTS = (("latin", re.compile(r"[A-Za-zÀ-ɏ]")), ("cyrillic", re.compile(r"[Ѐ-ӿ]")), ("greek", re.compile(r"[Ͱ-Ͽ]")), ("arabic", re.compile(r"[؀-ۿ]")), ("hebrew", re.compile(r"[֐-׿]")), ("cjk", re.compile(r"[぀-ヿ一-鿿가-힯]")), ("indic", re.compile(r"[ऀ-෿]")))
+# Where the blocks of a script begin and end.
+_SCRIPTS = {"latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)), "cyrillic": ((0x400, 0x4FF),), "greek": ((0x370, 0x3FF),), "arabic": ((0x600, 0x6FF),), "hebrew": ((0x590, 0x5FF),), "cjk": ((0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF)), "indic": ((0x900, 0xDFF),)}
 
 
 def script(text: str) -> str | None:
-    n = {k: len(r.findall(text)) for k, r in _SCRIPTS}
+    """The script of most letters, None where there are none."""
+    if text.isascii():
+        return "latin" if _WORD.search(text) else None
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    n = {k: sum(int(((codes >= a) & (codes <= b)).sum()) for a, b in blocks) for k, blocks in _SCRIPTS.items()}
     return max(n, key=n.get) if any(n.values()) else None
 
 
@@ -162,36 +200,27 @@ def is_other_language(profiles: languages.Profiles, prompt: list[str], response:
     return cos[best] - rest > 0.03 and shares(profiles, pieces).get(languages.LANGS[best], 0) < 0.25
 
 
-def defects(profiles: languages.Profiles, prompt: str | None, response: str | None) -> list[str]:
-    """All defects of a response, in the order of DEFECTS."""
-    r, closed = items_of(response)
+def defects(profiles: languages.Profiles, prompt: str | None, response: str | None, parsed: tuple[list[str], bool] | None = None) -> list[str]:
+    """All defects of a response, in the order of DEFECTS. An empty response may
+    also be unclosed; nothing else can be said of it."""
+    r, closed = parsed or items_of(response)
     if is_empty(r, response):
-        return ["empty"]
+        return ["empty"] + ["truncated"] * bool(response and (not closed or response.count("```") % 2))
     p, _ = items_of(prompt)
-    out = []
-    if is_refusal(r):
-        out.append("refusal")
-    if is_copy(p, r):
-        out.append("copy")
-    if is_truncated(r, closed, response):
-        out.append("truncated")
-    if "refusal" not in out and "copy" not in out and is_other_language(profiles, p, r):
-        out.append("other_language")
-    return out
-
-
-def fitted(prompts: DataFrame, column: str, sample: int = 1000) -> languages.Profiles:
-    """Language prototypes that have seen up to ``sample`` prompts (those with the
-    least hash), each labelled by the seed prototypes."""
-    texts = prompts.filter(F.col(column).isNotNull()).select(column)
-    got = bounded_sample(texts, sample, column, texts.count())
-    seed = languages.fit([])
-    return languages.fit([(seed.best(r[0])[0], r[0]) for r in got if r[0].strip()])
+    copied = is_copy(p, r)
+    rules = (
+        ("refusal", lambda: is_refusal(r)),
+        ("copy", lambda: copied),
+        ("truncated", lambda: is_truncated(r, closed, response) or copied and len(letters("".join(r))) < len(letters("".join(p)))),
+        ("other_language", lambda: not copied and is_other_language(profiles, p, r)),
+    )
+    return [name for name, applies in rules if applies()]
 
 
 _LAST = re.compile(r"([^\W\d_]+)$")
-#: A word seen so often inside statements, but never at an end, doesn't end one.
-INSIDE = 10
+#: A last word breaks off if, of the words seen, less than this share is a whole
+#: word (and not the beginning of a longer one) or ends a statement.
+RARE = 0.05
 
 
 def flagged(pairs: DataFrame, profiles: languages.Profiles) -> DataFrame:
@@ -200,39 +229,49 @@ def flagged(pairs: DataFrame, profiles: languages.Profiles) -> DataFrame:
     a null prompt can be neither copied nor of another language.
 
     A statement may be cut and its list closed again. So the last word of each
-    response that no rule has flagged is looked up among the words of all other
-    statements of its step: it breaks off if it never ends one, and either it is
-    frequent inside them or it is no word of theirs but begins one.
+    response not yet seen to be truncated is looked up among the words of all
+    different statements of its step that are not the last of a response. It
+    breaks off if the words it begins outnumber it there (``RARE``), or if it
+    hardly ever ends one of them. Both are shares, with half a case added to each
+    side, so they mean the same in small and large tables and few cases say
+    nothing.
+
+    Plan: each pair is parsed once and what is found is written once. Statements
+    collapse to different ones before they are split into words; only words and
+    their counts are joined.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for s, u, p, r in zip(b["step_no"], b["uid"], b["prompt"], b["response"], strict=True):
-                d = defects(profiles, p, r)
-                end = None if d else _LAST.search(items_of(r)[0][-1].rstrip())
-                rows += [(s, u, x, DEFECTS.index(x), None) for x in d] or [(s, u, None, None, end and end.group().lower())]
-            yield pd.DataFrame(rows, columns=["step_no", "uid", "defect", "rank", "end"]).astype({"rank": "Int32"})
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for s, r in zip(b["step_no"], b["response"], strict=True):
-                for item in items_of(r)[0][:-1]:
-                    ws = [w.lower() for w in _WORD.findall(item)]
-                    rows += [(s, w, int(i == len(ws) - 1)) for i, w in enumerate(ws)]
-            yield pd.DataFrame(rows, columns=["step_no", "word", "ends"])
+            out: dict[str, list] = {"defects": [], "end": [], "statements": []}
+            seen: set[tuple[int, str]] = set()
+            for s, p, r in zip(b["step_no"], b["prompt"], b["response"], strict=True):
+                parsed = items_of(r)
+                d = defects(profiles, p, r, parsed)
+                last = _LAST.search(parsed[0][-1].rstrip()) if parsed[0] and not {"empty", "copy", "truncated"} & set(d) else None
+                out["defects"].append(d)
+                out["end"].append(last and last.group().lower())
+                fresh = {(s, x) for x in parsed[0][:-1]} - seen
+                seen |= fresh
+                out["statements"].append([x for _, x in fresh])
+            yield pd.DataFrame({"step_no": b["step_no"], "uid": b["uid"], **out})
 
     rows = pairs.select("step_no", "uid", "prompt", "response")
-    seen = rows.mapInPandas(run, "step_no int, uid bigint, defect string, rank int, end string").distinct()
-    vocabulary = rows.filter(F.col("response").isNotNull()).mapInPandas(words, "step_no int, word string, ends int").groupBy("step_no", "word").agg(F.count("*").alias("n"), F.sum("ends").alias("n_ends"))
-    lengths = F.sequence(F.lit(1), F.length("word") - 1)
-    starts = vocabulary.filter(F.length("word") > 1).select("step_no", F.explode(F.transform(lengths, lambda i: F.substring("word", F.lit(1), i))).alias("end")).distinct().withColumn("begins", F.lit(True))
-    known = vocabulary.withColumnRenamed("word", "end")
-    open_ends = seen.filter(F.col("end").isNotNull()).join(known, ["step_no", "end"], "left").join(starts, ["step_no", "end"], "left")
-    cut_off = open_ends.filter((F.col("n_ends") == 0) & (F.col("n") >= INSIDE) | F.col("n").isNull() & F.col("begins"))
-    found = cut_off.select("step_no", "uid", F.lit("truncated").alias("defect"), F.lit(DEFECTS.index("truncated")).alias("rank"))
-    return seen.filter(F.col("defect").isNotNull()).select("step_no", "uid", "defect", "rank").unionByName(found).distinct()
+    seen = cut(rows.mapInPandas(run, "step_no int, uid bigint, defects array<string>, end string, statements array<string>"))
+    rank = F.create_map(*[F.lit(x) for i, d in enumerate(DEFECTS) for x in (d, i)])
+    plainly = seen.select("step_no", "uid", F.explode("defects").alias("defect")).withColumn("rank", F.element_at(rank, F.col("defect")))
+    statements = seen.select("step_no", F.explode("statements").alias("statement")).distinct()
+    split = statements.select("step_no", F.regexp_extract_all(F.lower("statement"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    words = split.select("step_no", F.posexplode("w").alias("at", "word"), F.size("w").alias("size")).groupBy("step_no", "word").agg(F.count("*").alias("n"), F.count_if(F.col("at") == F.col("size") - 1).alias("n_ends"))
+    words = cut(words)
+    ends = cut(seen.filter(F.col("end").isNotNull()).groupBy("step_no", "end").agg(F.count("*").alias("rows")))
+    begun = words.filter(F.length("word") > 1).select("step_no", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("end"))
+    longer = begun.join(ends.select("step_no", "end"), ["step_no", "end"]).groupBy("step_no", "end").agg(F.sum("n").alias("n_longer"))
+    known = ends.join(words.withColumnRenamed("word", "end"), ["step_no", "end"], "left").join(longer, ["step_no", "end"], "left").na.fill(0, ["n", "n_ends", "n_longer"])
+    share = lambda a, b: (F.col(a) + 0.5) / (b + 1)
+    cut_off = known.filter((share("n", F.col("n") + F.col("n_longer")) < RARE) | (share("n_ends", F.col("n")) < RARE)).select("step_no", "end", "rows")
+    found = join_groups_back(seen.filter(F.col("end").isNotNull()).select("step_no", "uid", "end"), cut_off, ["step_no", "end"], "rows")
+    return plainly.unionByName(found.select("step_no", "uid", F.lit("truncated").alias("defect"), F.lit(DEFECTS.index("truncated")).alias("rank"))).distinct()
 
 
 def first(flags: DataFrame) -> DataFrame:

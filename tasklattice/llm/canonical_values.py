@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasklattice.llm.common import fold
+from tasklattice.plans.lineage import cut
 
 #: Least Jaccard similarity of two sets of letter pairs to be compared further.
 THRESHOLD = 0.3
@@ -220,8 +221,9 @@ def mapped(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD
     for an entry: (value, isco_code, agreement). Values that stand for none, null
     and empty ones are absent. Among equally good entries the smallest code wins.
     """
-    refs = reference_forms(reference)
-    most = 6
+    refs = cut(reference_forms(reference))
+    # Windows are as long as the longest title, and a word more, as a word may be parted.
+    most = 1 + (refs.agg(F.max(F.size(F.split("form", " ")))).first()[0] or 0)
 
     def cut_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -239,8 +241,8 @@ def mapped(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD
             b["short"] = [p or agreement(w, True, f, 99, j) for (w, f, _, j), p in zip(pairs, b["plain"], strict=True)]
             yield b[b["short"] > 0][["window", "form", "jaccard", "plain", "short"]]
 
-    cut = values.select("value").filter(F.col("value").isNotNull()).distinct().mapInPandas(cut_windows, "value string, window string, abbreviated boolean")
-    left = cut.select("window").distinct().mapInPandas(add_pairs, f"window string, {SET_COLUMNS}")
+    parts = values.select("value").filter(F.col("value").isNotNull()).distinct().mapInPandas(cut_windows, "value string, window string, abbreviated boolean")
+    left = parts.select("window").distinct().mapInPandas(add_pairs, f"window string, {SET_COLUMNS}")
     right = refs.select("form").distinct().mapInPandas(add_pairs, f"form string, {SET_COLUMNS}")
     sure = similar_sets(left, right, threshold).mapInPandas(confirm, "window string, form string, jaccard double, plain double, short double").join(refs, "form")
     # Of one window only the best entry of either kind can win: no hot window meets all its forms again.
@@ -248,7 +250,7 @@ def mapped(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD
     best = sure.groupBy("window").agg(order("plain").alias("plain"), order("short").alias("short"))
     pick = F.when(F.col("abbreviated"), F.col("short")).otherwise(F.col("plain"))
     # Longer windows that agree as well explain more of the value.
-    won = cut.join(best, "window").withColumn("pick", pick).filter(F.col("pick").isNotNull()).groupBy("value").agg(F.max("pick").alias("pick"))
+    won = parts.join(best, "window").withColumn("pick", pick).filter(F.col("pick").isNotNull()).groupBy("value").agg(F.max("pick").alias("pick"))
     return won.select("value", F.col("pick.isco_code").alias("isco_code"), F.col("pick.agreement").alias("agreement"))
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasklattice.llm.common import bounded_sample, filled
@@ -244,8 +244,7 @@ def fit(labelled: list[tuple[str, str]], titles: list[tuple[str, str]] = (), rou
 def fitted(rows: DataFrame, labels: DataFrame, reference: DataFrame | None = None, sample: int = SAMPLE) -> Profiles:
     """Prototypes fitted on at most ``sample`` labelled ads, those with the least
     hash of their uid; only these reach the driver."""
-    named = F.lower(F.trim("lang"))
-    known = labels.filter(F.col("lang").isNotNull() & ~named.isin(*NO_LABEL)).select("uid", "lang")
+    known = labels.filter(_labelled("lang")).select("uid", "lang")
     # Of a few labels many rows may be without text or delivered twice: some 1.5 times the sample is read.
     texts = rows.select("uid", "content_clean").filter(filled("content_clean")).join(known, "uid")
     got = bounded_sample(texts, sample, "uid", known.count())
@@ -253,6 +252,17 @@ def fitted(rows: DataFrame, labels: DataFrame, reference: DataFrame | None = Non
     return fit([(k, r.content_clean) for r in got if (k := label_language(r.lang))], titles)
 
 
+def fitted_on(rows: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> Profiles:
+    """The same for a table whose texts and labels are columns."""
+    known = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("lang")).filter(filled("text") & _labelled("lang"))
+    got = bounded_sample(known, sample, "key", known.count())
+    return fit([(k, r.text) for r in got if (k := label_language(r.lang))])
+
+
+def _labelled(column: str) -> Column:
+    return F.col(column).isNotNull() & ~F.lower(F.trim(column)).isin(*NO_LABEL)
+
+
 def ad_segments(rows: DataFrame, profiles: Profiles) -> DataFrame:
     """``rows`` has uid, title and content_clean: (uid, start, end, lang,
     confidence), one row per segment of content_clean, or one for the title where

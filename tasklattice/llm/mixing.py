@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -20,39 +21,79 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklattice.llm import broken_responses, languages, tokens
+from tasklattice.llm import languages, tokens
 from tasklattice.llm.common import bounded_sample
 from tasklattice.plans.lineage import cut
 
-TOPICS, SAMPLE, FEATURES = 8, 2000, 512
+TOPICS, FEATURES = 8, 512
+#: At most so many documents, by the hash of their id, are looked at for the
+#: points the topics begin at; the topics themselves are fitted on all documents.
+START = 2000
+ROUNDS = 8
 #: About so many documents of a cell are sampled in one ordered run.
 BUCKET = 50_000
 _WORD = re.compile(r"[^\W\d_]{4,}")
 
 
-def _features(texts: list[str]) -> np.ndarray:
-    """Hashed word counts (their roots), of length one."""
-    x = np.zeros((len(texts), FEATURES))
-    for i, t in enumerate(texts):
-        for w in _WORD.findall(t.lower()):
-            x[i, crc32(w.encode()) % FEATURES] += 1
-    x = np.sqrt(x)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+@lru_cache(500_000)
+def _slot(word: str) -> int:
+    return crc32(word.encode()) % FEATURES
 
 
-def topics(texts: list[str], k: int = TOPICS, rounds: int = 12) -> np.ndarray:
-    """Centres of a spherical k-means over ``texts``, begun at texts far apart."""
-    x = _features(texts)
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the hashed words of a text and their weights (the roots of their
+    counts), of length one."""
+    slots, n = np.unique(np.fromiter(map(_slot, _WORD.findall(text.lower())), dtype=np.uint16), return_counts=True)
+    return slots, np.sqrt(n / max(1, n.sum())).astype(np.float32)
+
+
+def dense(slots: list[bytes], weights: list[bytes]) -> np.ndarray:
+    """The vectors of many documents as a matrix."""
+    at, w = [np.frombuffer(x, dtype=np.uint16) for x in slots], np.frombuffer(b"".join(weights), dtype=np.float32)
+    x = np.zeros((len(at), FEATURES), dtype=np.float32)
+    if len(w):
+        x[np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at)] = w
+    return x
+
+
+def far_apart(x: np.ndarray, k: int) -> np.ndarray:
+    """Up to ``k`` rows of ``x``, each as unlike those before it as possible."""
     x = x[x.any(axis=1)]
     if not len(x):
-        return np.zeros((1, FEATURES))
+        return np.zeros((1, FEATURES), dtype=np.float32)
     centres = x[:1]
     while len(centres) < min(k, len(x)):
         centres = np.vstack((centres, x[(x @ centres.T).max(axis=1).argmin()]))
+    return centres
+
+
+def topics(docs: DataFrame, k: int = TOPICS, rounds: int = ROUNDS, start: int = START) -> np.ndarray:
+    """Centres of a spherical k-means over all ``docs`` (doc_id, slots, weights).
+    Each round sums the vectors of every centre where the documents lie; the sums,
+    ``k`` times ``FEATURES`` numbers at most, come to the driver."""
+    centres = far_apart(dense(*zip(*((r.slots, r.weights) for r in bounded_sample(docs, start, "doc_id", docs.count())), strict=True)), k) if not docs.isEmpty() else np.zeros((1, FEATURES))
+
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(axis=1)
-        centres = np.stack([x[own == i].sum(axis=0) if (own == i).any() else centres[i] for i in range(len(centres))])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+
+        def sums(batches: Iterator[pd.DataFrame], centres=centres) -> Iterator[pd.DataFrame]:
+            total = np.zeros(centres.shape)
+            for b in batches:
+                x = dense(list(b["slots"]), list(b["weights"]))
+                own = (x @ centres.T).argmax(axis=1)
+                for i in range(len(centres)):
+                    total[i] += x[own == i].sum(axis=0)
+            i, j = np.nonzero(total)
+            yield pd.DataFrame({"topic": i, "slot": j, "w": total[i, j]})
+
+        new = np.zeros(centres.shape)
+        for r in docs.select("slots", "weights").mapInPandas(sums, "topic int, slot int, w double").groupBy("topic", "slot").agg(F.sum("w").alias("w")).collect():
+            new[r.topic, r.slot] = r.w
+        empty = ~new.any(axis=1)
+        new[empty] = centres[empty]
+        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-9)
+        moved, centres = np.abs(new - centres).max(), new
+        if moved < 1e-3:
+            break
     return centres
 
 
@@ -82,20 +123,27 @@ def rake(have: np.ndarray, target: np.ndarray, cap: np.ndarray, total: float, ro
 
 def described(docs: DataFrame, sources: list[str], path: str) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens) of the documents of ``sources``
-    that have tokens; languages and topics are found from the whole texts."""
-    own = docs.select("doc_id", "source", "text").filter(F.col("source").isin(sources) & F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    centres = topics([r.text for r in bounded_sample(own.select("doc_id", "text"), SAMPLE, "doc_id", own.count())])
-    profiles = broken_responses.fitted(own, "text", 1000)
+    that have tokens; languages and topics are found from the whole texts. Language
+    prototypes are fitted on at most ``languages.SAMPLE`` documents with a label."""
+    own = docs.filter(F.col("source").isin(sources) & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    profiles = languages.fitted_on(own, "doc_id", "text", "lang") if "lang" in docs.columns else languages.fit([])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["text"].tolist()
-            n = [len(x) for i in range(0, len(texts), 256) for x in tokens.encode(texts[i : i + 256], path)]
-            out = pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "lang": [profiles.best(t)[0] for t in texts], "topic": (_features(texts) @ centres.T).argmax(axis=1) if len(texts) else [], "n_tokens": n})
-            yield out[out["n_tokens"] > 0]
+            x = [features(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "lang": [profiles.best(t)[0] for t in b["text"]], "n_tokens": [len(y) for y in tokens.encode(b["text"].tolist(), path)], "slots": [s.tobytes() for s, _ in x], "weights": [w.tobytes() for _, w in x]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return own.mapInPandas(run, f"doc_id {kind}, source string, lang string, topic int, n_tokens int").groupBy("doc_id", "source").agg(F.max(F.struct("n_tokens", "lang", "topic")).alias("x")).select("doc_id", "source", "x.lang", "x.topic", "x.n_tokens")
+    seen = own.select("doc_id", "source", "text").mapInPandas(read, f"doc_id {kind}, source string, lang string, n_tokens int, slots binary, weights binary").filter("n_tokens > 0")
+    # Repeated rows of a document count once, with its longest text.
+    once = cut(seen.groupBy("doc_id", "source").agg(F.max(F.struct("n_tokens", "lang", "slots", "weights")).alias("x")).select("doc_id", "source", "x.*"))
+    centres = topics(once)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["doc_id", "source", "lang", "n_tokens"]].assign(topic=(dense(list(b["slots"]), list(b["weights"])) @ centres.T).argmax(axis=1))
+
+    return once.mapInPandas(assign, f"doc_id {kind}, source string, lang string, n_tokens int, topic int")
 
 
 def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, path: str = f"{tokens.FOLDER}/{tokens.TOKENIZER}") -> tuple[DataFrame, float]:

@@ -121,8 +121,11 @@ def word_cost(a: str, b: str) -> int:
 
 def name_cost(a: list[str], b: list[str], most: int = 2) -> int:
     """Least sum of word costs over all one-to-one assignments, 9 above ``most``.
-    One spelling may lack up to four words of the other (a town), if three words
-    or more are left and all of them are whole and the same."""
+    The same words are the same name, however short they are. One spelling may
+    lack up to four words of the other (a town), if three words or more are left
+    and all of them are whole and the same."""
+    if a and Counter(a) == Counter(b):
+        return 0
     if len(a) > len(b):
         a, b = b, a
     if not a or len(b) > len(a) + 4 * (len(a) >= 3):

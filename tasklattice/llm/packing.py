@@ -22,8 +22,6 @@ from tasklattice.llm import tokens
 
 #: About so many documents, and at most about so many characters, share an index.
 SHARD_DOCS, SHARD_CHARS = 2000, 32_000_000
-#: Tokens of the seed that are looked up, those of the highest weight.
-TERMS = 48
 _K1, _B = 1.2, 0.75
 
 
@@ -45,18 +43,15 @@ class Index:
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.concatenate(([0], np.cumsum(df)))
         ends = np.cumsum([len(u) for u, _ in uniq])
-        self.own = [(inv[e - len(u) : e], weight[e - len(u) : e]) for e, (u, _) in zip(ends, uniq, strict=True)]
+        self.own = [inv[e - len(u) : e] for e, (u, _) in zip(ends, uniq, strict=True)]
 
     def scores(self, i: int) -> np.ndarray:
-        """BM25 of every document for document ``i`` as the query."""
-        t, w = self.own[i]
-        if len(t) > TERMS:
-            t = t[np.argsort(-w, kind="stable")[:TERMS]]
-        out = np.zeros(self.n)
-        for x in t:
-            a, b = self.start[x], self.start[x + 1]
-            out[self.doc[a:b]] += self.weight[a:b]
-        return out
+        """BM25 of every document for document ``i``, all its tokens, as the query."""
+        t = self.own[i]
+        first, n = self.start[t], self.start[t + 1] - self.start[t]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(t) else 0) + np.repeat(first - ends + n, n)
+        return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 def fill(sizes: list[int], capacity: int, scores) -> list[list[int]]:
@@ -93,42 +88,48 @@ def fill(sizes: list[int], capacity: int, scores) -> list[list[int]]:
     return out
 
 
-def packed(docs: DataFrame, capacity: int, path: str = f"{tokens.FOLDER}/{tokens.TOKENIZER}", key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(container_id, doc_id, piece, first_token, n_tokens): in which container
-    each document, or each piece of a longer one, lies. Pieces count from 0.
-    Null and empty texts have no tokens and no container; repeated rows of a key
-    are packed once (the text that sorts first). An empty input gives no rows.
+def packed(docs: DataFrame, capacities: dict[str, int], path: str = f"{tokens.FOLDER}/{tokens.TOKENIZER}", key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(container_kind, container_id, doc_id, piece, first_token, n_tokens): for
+    each kind of container of ``capacities`` in which container each document, or
+    each piece of a longer one, lies. Pieces count from 0. Null and empty texts
+    have no tokens and no container; repeated rows of a key are packed once (the
+    text that sorts first). An empty input or no capacities give no rows.
 
     Shards are dealt by a hash of the key, so their sizes are even whatever the
-    texts are; the only shuffle moves each text to its shard.
+    texts are; their number is taken from the rows as they are, which costs a scan
+    and no shuffle. A text is shuffled for its key, where copies collapse on the
+    map side, and to its shard, and split into tokens once for all kinds.
     """
     own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(column).alias("text")).filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    own = own.groupBy("doc_id").agg(F.min("text").alias("text"))
     n, chars = own.agg(F.count("*"), F.sum(F.length("text"))).first()
     shards = max(1, math.ceil(n / SHARD_DOCS), math.ceil((chars or 0) / SHARD_CHARS))
+    kinds = sorted((k, c) for k, c in capacities.items() if c and c > 0)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         ids = tokens.encode(pdf["text"].tolist(), path)
-        rows, ends, box_no = [], [], 0
-        for d, x in zip(pdf["doc_id"], ids, strict=True):
-            whole = len(x) // capacity if len(x) > capacity else 0
-            for p in range(whole):
-                rows.append((box_no, d, p, p * capacity, capacity))
+        shard, rows = int(pdf["shard"].iloc[0]), []
+        for kind, capacity in kinds:
+            ends, box_no = [], 0
+            for d, x in zip(pdf["doc_id"], ids, strict=True):
+                whole = len(x) // capacity if len(x) > capacity else 0
+                for p in range(whole):
+                    rows.append((kind, f"{shard}-{box_no}", d, p, p * capacity, capacity))
+                    box_no += 1
+                ends.append((d, whole, whole * capacity, len(x) - whole * capacity, x[whole * capacity :]))
+            index = Index([e[4] for e in ends])
+            for box in fill([e[3] for e in ends], capacity, index.scores):
+                rows += [(kind, f"{shard}-{box_no}", *ends[i][:4]) for i in box]
                 box_no += 1
-            ends.append((d, whole, whole * capacity, len(x) - whole * capacity, x[whole * capacity :]))
-        index = Index([e[4] for e in ends])
-        for box in fill([e[3] for e in ends], capacity, index.scores):
-            rows += [(box_no, *ends[i][:4]) for i in box]
-            box_no += 1
-        out = pd.DataFrame(rows, columns=["container_id", "doc_id", "piece", "first_token", "n_tokens"])
-        out["container_id"] = f"{int(pdf['shard'].iloc[0])}-" + out["container_id"].astype(str)
-        return out
-
-    sharded = own.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandas(pack, "container_id string, doc_id bigint, piece int, first_token int, n_tokens int")
-
-
-def use(containers: DataFrame, capacity: int) -> DataFrame:
-    """One row: containers, tokens, and the share of the space that is used."""
-    return containers.agg(F.countDistinct("container_id").alias("n_containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens")).withColumn("used_share", F.try_divide(F.col("n_tokens").cast("double"), F.col("n_containers") * F.lit(capacity)))
+        return pd.DataFrame(rows, columns=["container_kind", "container_id", "doc_id", "piece", "first_token", "n_tokens"])
+
+    once = own.groupBy("doc_id").agg(F.min("text").alias("text"))
+    sharded = once.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    return sharded.groupBy("shard").applyInPandas(pack, "container_kind string, container_id string, doc_id bigint, piece int, first_token int, n_tokens int")
+
+
+def use(containers: DataFrame, capacities: dict[str, int]) -> DataFrame:
+    """One row for each kind: containers, tokens, and the share of the space used."""
+    got = containers.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("container_kind").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"))
+    capacity = F.create_map(*[F.lit(x) for kv in capacities.items() for x in kv]) if capacities else F.create_map().cast("map<string,int>")
+    return got.withColumn("used_share", F.try_divide(F.col("n_tokens").cast("double"), F.col("n_containers") * F.try_element_at(capacity, F.col("container_kind"))))

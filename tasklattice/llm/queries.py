@@ -33,6 +33,10 @@ def p3_found(spark, d):
     return name_variants.linked_names(table(spark, d, "job_postings_unified").select("company_name", "company_is_recruiter"))
 
 
+def p3_firms(spark, d):
+    return name_variants.firms(table(spark, d, "job_postings_unified").select("company_name", "company_is_recruiter"))
+
+
 def p10_found(spark, d):
     return text_statistics.not_prose(table(spark, d, "documents"))
 
@@ -58,7 +62,7 @@ STEPS = {1: ("content_clean", "ai_applications_raw"), 2: ("ai_applications_raw",
 
 def _flags(spark, d):
     steps = [table(spark, d, f"step{n}_output").select(F.lit(n).alias("step_no"), "uid", F.col(p).alias("prompt"), F.col(r).alias("response")) for n, (p, r) in STEPS.items()]
-    return broken_responses.flagged(reduce(lambda a, b: a.unionByName(b), steps), broken_responses.fitted(table(spark, d, "step1_output"), "content_clean"))
+    return broken_responses.flagged(reduce(lambda a, b: a.unionByName(b), steps), _profiles(spark, d))
 
 
 def p5_found(spark, d):
@@ -81,12 +85,17 @@ def p4_found(spark, d):
     return vector_neighbours.linked(table(spark, d, "text_vectors"))
 
 
-def _capacity(spark, d, kind):
-    return table(spark, d, "container_sizes").filter(F.col("container_kind") == kind).agg(F.max("capacity_tokens")).first()[0]
+def _capacities(spark, d):
+    kinds = table(spark, d, "container_sizes").filter(F.col("container_kind").isNotNull()).groupBy("container_kind").agg(F.max("capacity_tokens").alias("c"))
+    return {r.container_kind: r.c for r in kinds.collect()}
+
+
+def p8_containers(spark, d):
+    return packing.packed(table(spark, d, "documents"), _capacities(spark, d))
 
 
-def p8_containers(spark, d, kind="medium"):
-    return packing.packed(table(spark, d, "documents"), _capacity(spark, d, kind)).withColumn("container_kind", F.lit(kind))
+def p8_use(spark, d):
+    return packing.use(p8_containers(spark, d), _capacities(spark, d))
 
 
 def p9_mixture(spark, d):
@@ -98,7 +107,7 @@ def p9_shares(spark, d):
     return mixing.shares(mixing.mixture(docs, targets)[0], targets)
 
 
-QUERIES = {"p4_found": p4_found, "p8_containers": p8_containers, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p2_found": p2_found, "p2_masked": p2_masked, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_all_defects": p5_all_defects, "p10_found": p10_found, "p10_statistics": p10_statistics, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+QUERIES = {"p4_found": p4_found, "p8_containers": p8_containers, "p8_use": p8_use, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p2_found": p2_found, "p2_masked": p2_masked, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_all_defects": p5_all_defects, "p10_found": p10_found, "p10_statistics": p10_statistics, "p3_found": p3_found, "p3_firms": p3_firms, "p7_found": p7_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
 SQL: dict[str, str] = {
     "p4_found": """
         with v as (select vec_id, vec::double[] as vec from text_vectors where vec is not null and list_inner_product(vec::double[], vec::double[]) > 0),

@@ -12,7 +12,9 @@ Formatting may also remove the line breaks or colons, so that the unordered node
 can't be seen. Such a flat record is compared with the structured records that
 hold the same letters and digits in any order (a sum digest over characters): it
 belongs to one if its sequence is that body followed by those closing lines in
-some order, each used once.
+some order, each used once. Where the body ends may also be seen differently, as
+formatting may join or part its last lines: two structures of the same letters are
+one class if the sequence of either is an arrangement of the other.
 """
 
 from __future__ import annotations
@@ -28,13 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tasklattice.llm.common import filled
+from tasklattice.plans.components import components
 from tasklattice.plans.lineage import cut
 from tasklattice.plans.skew import join_groups_back
 
 _NOT_ALNUM = re.compile(r"[\W_]+")
-#: A closing line: a bullet at most, a label of a few words, a colon, a value.
-_CLOSING = re.compile(r"[\s\-*•·–>]*[^\W\d_][^\W_]*(?:[ \t '’/\-]+[^\W_]+){0,4}\s*:\s*\S.*")
-_MAX_CLOSING = 80
+_COLON = re.compile("[:：]")
 
 
 def leaf(text: str) -> str:
@@ -42,6 +43,13 @@ def leaf(text: str) -> str:
     return _NOT_ALNUM.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 
+def is_closing(line: str) -> bool:
+    """A line of the form ``label: value``, however long: letters before the first
+    colon, letters or digits after it."""
+    label, *value = _COLON.split(line, maxsplit=1)
+    return bool(value) and any(ch.isalpha() for ch in label) and bool(leaf(value[0]))
+
+
 def structure(text: str) -> tuple[str, list[str]]:
     """The normalised body and the sorted, normalised closing lines."""
     lines = text.splitlines()
@@ -50,7 +58,7 @@ def structure(text: str) -> tuple[str, list[str]]:
         last = lines[-1]
         if not (value := leaf(last)):
             lines.pop()
-        elif len(last) <= _MAX_CLOSING and _CLOSING.fullmatch(last.replace("­", "").replace("​", "")):
+        elif is_closing(last):
             closing.append(value)
             lines.pop()
         else:
@@ -116,6 +124,15 @@ def _fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[ok, ["company_id", "seq_id", "class_root"]]
 
 
+def _same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        ok = []
+        for f, g in zip(b["form"], b["form_b"], strict=True):
+            (x, *c), (y, *d) = f.split(_SEP), g.split(_SEP)
+            ok.append(arranged("".join([y, *d]), x, c) or arranged("".join([x, *c]), y, d))
+        yield b.loc[ok, ["a", "b"]]
+
+
 def structural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` has uid, company_id and content_clean; other columns are ignored.
 
@@ -126,10 +143,12 @@ def structural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     occurs again with the same text counts once. An empty input gives empty
     results.
 
-    Plan: one pass of Arrow batches makes the digests and is written once. The sequences are grouped
-    with map-side combination, so copies of one text collapse before the shuffle,
-    however many rows they are. What is left, one row per different sequence, is
-    grouped by root and joined with the few structured records of its bag.
+    Plan: one pass of Arrow batches makes the digests and is written once. The
+    sequences are grouped with map-side combination, so copies of one text collapse
+    before the shuffle, however many rows they are. What is left, one row per
+    different sequence, is grouped by root and joined with the structures of its
+    bag: different structures of one company made of the very same letters, which
+    are few however many copies they have.
     """
     source = rows.filter(F.col("company_id").isNotNull() & filled("content_clean")).select("uid", F.col("company_id").cast("bigint").alias("company_id"), "content_clean")
     hashed = source.mapInPandas(_hashed, "uid string, company_id bigint, sequence string, form string, root binary, bag binary").filter(F.col("sequence") != "")
@@ -156,6 +175,12 @@ def structural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = shaped.select("company_id", "seq_id", F.col("root").alias("class_root")).unionByName(
         flat.join(fitted, ["company_id", "seq_id"], "left").select("company_id", "seq_id", F.coalesce("class_root", F.unhex(F.substring("seq_id", 1, 32))).alias("class_root"))
     )
+    other = forms.select("company_id", "bag", F.col("root").alias("b"), F.col("form").alias("form_b"))
+    meeting = forms.select("company_id", "bag", F.col("root").alias("a"), "form").join(other, ["company_id", "bag"]).filter(F.col("a") < F.col("b"))
+    links = cut(meeting.select("form", "form_b", "a", "b").mapInPandas(_same, "a binary, b binary"))
+    if not links.isEmpty():
+        joined = components(links, "a", "b").select(F.col("id").alias("class_root"), "component")
+        roots = roots.join(joined, "class_root", "left").select("company_id", "seq_id", F.coalesce("component", "class_root").alias("class_root"))
     ids = hashed.select("uid", "company_id", "seq_id").distinct()
     per_sequence = roots.join(ids.groupBy("company_id", "seq_id").agg(F.count("*").alias("n_rows")), ["company_id", "seq_id"])
     members = join_groups_back(ids, per_sequence, ["company_id", "seq_id"], "n_rows").select("uid", "company_id", "class_root")

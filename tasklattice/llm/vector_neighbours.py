@@ -22,9 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most vectors of a group; a cell holds two groups.
-GROUP = 65_536
+#: Most numbers of a group (65,536 vectors of 64); a cell holds two groups.
+GROUP_NUMBERS = 65_536 * 64
 _TILE = 2048
+#: Up to this length sums of products of eight-bit codes stay below 2 ** 24 and are
+#: whole in single floats; beyond it double floats hold them.
+_SINGLE = 2**24 // (127 * 127)
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,21 +42,25 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for (g, dim), part in b.groupby(["g", "dim"]):
             raw = np.stack(part["vec"].to_numpy()).astype(np.float32)
-            wide = raw.astype(np.float64)
-            norm = np.linalg.norm(wide, axis=1)
-            code, scale, rest = quantise(wide / norm[:, None])
-            ids = part["id"].to_numpy(np.int64)
-            yield pd.DataFrame([{"g": g, "dim": dim, "n": len(ids), "ids": ids.tobytes(), "code": code.tobytes(), "scale": scale.astype(np.float64).tobytes(), "rest": rest.astype(np.float64).tobytes(), "norm": norm.tobytes(), "raw": raw.tobytes()}])
+            yield pd.DataFrame([{"g": g, "dim": dim, "ids": part["id"].to_numpy(np.int64).tobytes(), "raw": raw.tobytes()}])
 
 
 class _Side:
-    """The vectors of one group and the best so far of each."""
+    """The vectors of one group, their codes, and the best so far of each."""
 
     def __init__(self, rows: pd.DataFrame, dim: int, k: int):
-        join = lambda c, t: np.frombuffer(b"".join(rows[c]), dtype=t)
-        self.ids, self.scale, self.rest, self.norm = join("ids", np.int64), join("scale", np.float64), join("rest", np.float64), join("norm", np.float64)
-        self.code, self.raw = join("code", np.int8).reshape(-1, dim), join("raw", np.float32).reshape(-1, dim)
+        # Rows come in any order: by the least key, so that a retried task does the same.
+        rows = sorted(zip(rows["ids"], rows["raw"], strict=True))
+        self.ids = np.frombuffer(b"".join(i for i, _ in rows), dtype=np.int64)
+        self.raw = np.frombuffer(b"".join(r for _, r in rows), dtype=np.float32).reshape(-1, dim)
         n = len(self.ids)
+        self.norm, self.scale, self.rest = np.empty(n), np.empty(n), np.empty(n)
+        self.code = np.empty((n, dim), dtype=np.int8)
+        for s in range(0, n, 4096):
+            part = slice(s, s + 4096)
+            wide = self.raw[part].astype(np.float64)
+            self.norm[part] = np.linalg.norm(wide, axis=1)
+            self.code[part], self.scale[part], self.rest[part] = quantise(wide / self.norm[part, None])
         self.best = np.full((n, k), -2.0)
         self.other = np.full((n, k), np.iinfo(np.int64).max)
 
@@ -80,20 +87,28 @@ def _exact(a: _Side, i: np.ndarray, b: _Side, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All products of the rows of two matrices of eight-bit codes, exactly."""
+    kind = np.float32 if a.shape[1] <= _SINGLE else np.float64
+    return a.astype(kind) @ b.astype(kind).T
+
+
 def cell_best(left: _Side, right: _Side, same: bool) -> None:
-    """Fill the best of both sides from all pairs of the cell. Whole numbers of
-    eight bits are multiplied in single floats, which hold the products exactly
-    (64 * 127 * 127 is below 2 ** 24; longer vectors lose less than the slack)."""
+    """Fill the best of both sides from all pairs of the cell. The tiles are
+    products of eight-bit codes (whole numbers, kept in floats wide enough to hold
+    them, as numpy multiplies matrices of floats only), which are then scaled; the
+    slack covers the rounding of the scaling."""
     k = left.best.shape[1]
-    slack = 1e-5
-    lcode = left.code.astype(np.float32) * left.scale[:, None].astype(np.float32)
+    slack = 1e-6
     for b0 in range(0, len(right.ids), _TILE):
         b1 = min(len(right.ids), b0 + _TILE)
-        rcode = (right.code[b0:b1].astype(np.float32) * right.scale[b0:b1, None].astype(np.float32)).T
+        rscale = right.scale[b0:b1].astype(np.float32)
         rmax = right.rest[b0:b1].max()
         for a0 in range(0, b1 if same else len(left.ids), _TILE):
             a1 = min(len(left.ids), a0 + _TILE)
-            tile = lcode[a0:a1] @ rcode
+            tile = code_products(left.code[a0:a1], right.code[b0:b1]).astype(np.float32, copy=False)
+            tile *= left.scale[a0:a1, None].astype(np.float32)
+            tile *= rscale
             diagonal = same and a0 == b0
             if diagonal:
                 np.fill_diagonal(tile, -2)
@@ -119,28 +134,30 @@ def cell_best(left: _Side, right: _Side, same: bool) -> None:
                 right.offer(q, left.ids[p], _exact(left, p, right, q))
 
 
-def nearest(vectors: DataFrame, k: int = 5, key: str = "vec_id", column: str = "vec", group: int = GROUP) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, key: str = "vec_id", column: str = "vec", group: int = GROUP_NUMBERS) -> DataFrame:
     """(a, b, cosine): for every vector its ``k`` others of the highest cosine;
     fewer where there are fewer. Of equal cosines those with smaller keys come
     first. Null and all-zero vectors, vectors holding nulls or NaN, and null keys
     take no part; vectors are compared with those of the same length only. Keys
     must be unique; repeated rows count once.
 
-    Each vector is sent to one row and one column of the grid, that is to
-    groups + 1 cells; the grid is as small as the group size and the number of
-    cores allow.
+    Each vector is sent, as it is, to one row and one column of the grid, that is
+    to groups + 1 cells, and quantised there. A group holds about ``group`` numbers
+    at most, so that long vectors make smaller groups; the grid is as small as that
+    and the number of cores allow.
     """
     spark = vectors.sparkSession
-    own = (
+    rows = (
         vectors.select(F.col(key).cast("bigint").alias("id"), F.col(column).cast("array<float>").alias("vec"))
         .filter(F.col("id").isNotNull() & F.exists("vec", lambda x: x != 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)))
-        .dropDuplicates(["id"])
         .withColumn("dim", F.size("vec"))
     )
-    n = own.count()
+    # Repeated rows only make the grid finer, so they are counted without a shuffle.
+    n, numbers = rows.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
     side = math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism))
-    groups = max(math.ceil(n / group), min(side, math.ceil(n / 1024)), 1)
-    packed = own.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).mapInPandas(_pack, "g int, dim int, n int, ids binary, code binary, scale binary, rest binary, norm binary, raw binary")
+    groups = max(math.ceil(numbers / group), min(side, math.ceil(n / 1024)), 1)
+    own = rows.dropDuplicates(["id"])
+    packed = own.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).mapInPandas(_pack, "g int, dim int, ids binary, raw binary")
     cells = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda h: F.least("g", h) * groups + F.greatest("g", h))
     spread = packed.withColumn("cell", F.explode(cells))
 

@@ -33,3 +33,18 @@ def test_empty(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     mixed, _ = mixing.mixture(df, targets)
     assert mixed.count() == 0 and mixing.shares(mixed, targets).first().actual_share == 0
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    """Few documents are where topics begin, but every centre is the mean of all
+    documents that are nearest to it."""
+    kinds = ["Planung Kontrolle Termine", "vectors tasks report", "Lager Waren Kisten"]
+    rows = [(i, *(x.tobytes() for x in mixing.features(kinds[i % 3] + f" wort{'abcdefgh'[i % 8]}xyz"))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, slots binary, weights binary")
+    centres = mixing.topics(df, k=3, start=30)
+    own = (mixing.dense([r[1] for r in rows], [r[2] for r in rows]) @ centres.T).argmax(axis=1)
+    assert len({int(x) for x in own}) >= 2
+    x = mixing.dense([r[1] for r in rows], [r[2] for r in rows])
+    for i in set(own):  # each centre is the mean direction of all its documents
+        mean = x[own == i].sum(axis=0)
+        assert np.allclose(mean / np.linalg.norm(mean), centres[i], atol=5e-3)

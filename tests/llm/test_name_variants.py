@@ -56,3 +56,17 @@ def test_links_do_not_depend_on_the_size_of_the_table(spark):
     many = ["Müller " + "".join(c * 3 for c in (a, b, a)) for a in "bcdfghjk" for b in "lmnpqrst"]
     got = {tuple(r) for r in linked_names(spark.createDataFrame([(n, None) for n in pair + many], "company_name string, company_is_recruiter boolean")).collect()}
     assert tuple(sorted(pair)) in got and all(not set(p) & set(pair) for p in got if set(p) != set(pair))
+
+
+def test_names_of_short_words(spark):
+    firms = (["UBS AG", "UBS", "Ubs (Schweiz) AG", "U.B.S."][:3], ["SBB CFF", "SBB CFF AG", "CFF SBB"], ["ABB AG", "ABB Aktiengesellschaft"])
+    other = ["UBA AG", "SBB", "AB", "Abb Bau"]
+    got = {tuple(r) for r in linked_names(spark.createDataFrame([(n, None) for f in firms for n in f] + [(n, None) for n in other], "company_name string, company_is_recruiter boolean")).collect()}
+    assert got == {(a, b) for f in firms for a in f for b in f if a < b}
+
+
+def test_membership_gives_the_same_links(spark):
+    df = spark.createDataFrame([(n, None) for n in FIRM_A + FIRM_B + ["Anonym"]], "company_name string, company_is_recruiter boolean")
+    firm = {r.company_name: r.firm for r in name_variants.firms(df).collect()}
+    assert set(firm) == set(FIRM_A + FIRM_B)
+    assert {tuple(r) for r in linked_names(df).collect()} == {(a, b) for a in firm for b in firm if a < b and firm[a] == firm[b]}

@@ -32,7 +32,10 @@ def test_bm25_by_definition():
 def test_packed(spark):
     texts = ["ein kurzer Text über Arbeit"] * 20 + ["a long text about vectors " * 60, None, "", "x"]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(0, texts[0], "again")], "doc_id bigint, text string, piece string")
-    rows = packing.packed(df, 64).collect()
+    sizes = {"small": 64, "large": 200}
+    all_rows = packing.packed(df, sizes).collect()
+    rows = [r for r in all_rows if r.container_kind == "small"]
+    assert sum(r.n_tokens for r in rows) == sum(r.n_tokens for r in all_rows if r.container_kind == "large")
     size = {i: len(tokens.encode([t])[0]) for i, t in enumerate(texts)}
     got, boxes = {}, {}
     for r in rows:
@@ -40,5 +43,17 @@ def test_packed(spark):
         boxes[r.container_id] = boxes.get(r.container_id, 0) + r.n_tokens
     assert {i: sum(n for _, n in v) for i, v in got.items()} == {i: n for i, n in size.items() if n}
     assert all(len(v) == 1 for i, v in got.items() if size[i] <= 64) and max(boxes.values()) <= 64
-    assert packing.use(packing.packed(df, 64), 64).first().used_share > 0.9
-    assert packing.packed(df.limit(0), 64).count() == 0
+    shares = {r.container_kind: r.used_share for r in packing.use(packing.packed(df, sizes), sizes).collect()}
+    assert shares["small"] > 0.9 and set(shares) == {"small", "large"}
+    assert packing.packed(df.limit(0), sizes).count() == 0 and packing.packed(df, {}).count() == 0
+
+
+def test_all_tokens_of_a_long_seed_are_looked_up():
+    """The one token shared with the seed is the lightest of a thousand."""
+    docs = [list(range(1000)) + list(range(1, 1000)), [0], [5000]]
+    assert packing.Index(docs).scores(0)[1] > 0
+
+
+def test_both_files_of_one_tokenizer_agree():
+    texts = ["Wir suchen 12 Leute – ab sofort!", "", None, "don't  \n\n stop <|endoftext|>", "日本語 ñ"]
+    assert tokens.encode(texts) == tokens.encode(texts, f"{tokens.FOLDER}/byte_bpe_50k.json")

@@ -1,3 +1,5 @@
+import itertools
+
 from tasklattice.llm.structural_copies import arranged, collapsed, copies_of, structure
 
 TEXT = "Wir suchen Sie. Große Aufgabe!\nArbeitsort: Yvorens\nPensum: 80-100%\nEintritt: 01.02.2020"
@@ -30,3 +32,21 @@ def test_flat_orders_without_a_structured_copy_stay_apart(spark):
 
 def test_empty(spark):
     assert copies_of(spark.createDataFrame([], COLS)).count() == 0
+
+
+def test_long_closing_lines_and_labels(spark):
+    """Neither the length of a closing line nor the words of its label matter."""
+    lines = ["Pensum: 80-100%", "Ihre künftige Ansprechperson in unserem Haus für alle weiteren Fragen zu dieser Stelle: " + "sehr " * 20 + "gerne", "Eintritt: sofort"]
+    rows = [(f"u{i}", 1, "Wir suchen Sie.\n" + "\n".join(p), "") for i, p in enumerate(itertools.permutations(lines))]
+    got = {tuple(r) for r in copies_of(spark.createDataFrame(rows, COLS)).collect()}
+    assert got == {("u0", f"u{i}") for i in range(1, 6)}
+
+
+def test_the_end_of_the_body_may_be_seen_differently(spark):
+    """The last line of the body reads like a closing line only where the line
+    isn't broken before its end."""
+    whole = "Wir bieten: Ruhe und Zeit\nPensum: 50%\nOrt: Yvorens\nStart: Mai"
+    broken = "Wir bieten\nRuhe und Zeit\nStart: Mai\nPensum: 50%\nOrt: Yvorens"
+    other = "Wir bieten\nZeit und Ruhe\nStart: Mai\nPensum: 50%\nOrt: Yvorens"
+    df = spark.createDataFrame([("a", 1, whole, ""), ("b", 1, broken, ""), ("c", 1, other, "")], COLS)
+    assert {tuple(r) for r in copies_of(df).collect()} == {("a", "b")}

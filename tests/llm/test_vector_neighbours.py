@@ -1,6 +1,6 @@
 import numpy as np
 
-from tasklattice.llm.vector_neighbours import linked, nearest, quantise
+from tasklattice.llm.vector_neighbours import code_products, linked, nearest, quantise
 
 
 def brute(ids, x, k):
@@ -26,7 +26,7 @@ def test_equals_brute_force(spark):
     x[7] = x[3] * 2
     ids = [int(i) * 7 % 9973 for i in range(900)]
     df = spark.createDataFrame([(i, v.tolist(), "t") for i, v in zip(ids, x)] + [(100001, None, ""), (100002, [0.0] * 16, ""), (None, [1.0] * 16, ""), (100003, [float("nan")] * 16, ""), (ids[0], x[0].tolist(), "again")], "vec_id bigint, vec array<float>, b string")
-    for group in (100, 65_536):
+    for group in (100 * 16, 65_536 * 64):
         got = {}
         for r in nearest(df, 5, group=group).collect():
             got.setdefault(r.a, []).append((-round(r.cosine, 9), r.b))
@@ -37,3 +37,21 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [1.0, 2.0, 3.0])], "vec_id bigint, vec array<float>")
     assert {tuple(r) for r in linked(df).collect()} == {(1, 2), (1, 3), (2, 3)}
     assert linked(df.limit(0)).count() == 0
+
+
+def test_tiles_are_products_of_whole_numbers():
+    rng = np.random.default_rng(3)
+    for dim in (64, 1040, 1041, 4096):
+        a, b = rng.integers(-127, 128, (2, 30, dim), dtype=np.int8)
+        a[0] = b[0] = 127  # the largest sum there can be
+        assert (code_products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = np.float32(rng.normal(size=(60, 1500)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, vec array<float>")
+    got = {}
+    for r in nearest(df, 3, group=20 * 1500).collect():
+        got.setdefault(r.a, []).append((-round(r.cosine, 9), r.b))
+    assert {a: [b for _, b in sorted(v)] for a, v in got.items()} == brute(list(range(60)), x.astype(float), 3)
