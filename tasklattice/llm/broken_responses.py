@@ -104,8 +104,8 @@ def letters(text: str) -> str:
 
 
 def is_empty(items: list[str], text: str | None) -> bool:
-    if not text or (len(text) > 200 and any(len(x) > 100 for x in items)):
-        return not text
+    if not text:
+        return True
     rest = letters(unwrapped(text))
     return not rest or rest in NOTHING or all((x := letters(i)) in NOTHING or not x for i in items)
 
@@ -173,16 +173,20 @@ def script(text: str) -> str | None:
 
 
 def shares(profiles: languages.Profiles, items: list[str]) -> dict[str, float]:
-    """The share of the letters of ``items`` in each language."""
+    """The share of the letters of ``items`` in each language. Items that are not
+    surely of one language count for none, unless none is sure."""
     text, spans, at = "\n".join(items), [], 0
     for x in items:
         spans.append((at, at + len(x)))
         at += len(x) + 1
-    out: dict[str, float] = {}
     cos = profiles.cosines(text, spans)
-    for (a, b), c in zip(spans, cos, strict=True):
-        k = languages.LANGS[int(c.argmax())]
-        out[k] = out.get(k, 0) + b - a
+    order = np.sort(cos, axis=1)
+    sure = order[:, -1] - order[:, -2] >= languages.LEAD
+    if not sure.any():
+        return {languages.LANGS[int(profiles.cosines(text, [(0, len(text))])[0].argmax())]: 1.0}
+    out: dict[str, float] = {}
+    for (a, b), k in ((x, int(c.argmax())) for x, c, s in zip(spans, cos, sure, strict=True) if s):
+        out[languages.LANGS[k]] = out.get(languages.LANGS[k], 0) + b - a
     total = sum(out.values()) or 1
     return {k: v / total for k, v in out.items()}
 

@@ -10,6 +10,12 @@ text stays as it was.
 One automaton finds all cue words (forms of address, phrases around contact
 persons, street words, document words) in a single pass; patterns are tried only
 at the cues.
+
+Names that no phrase announces are weighed: capitalised words after a verb of
+asking or before contact data gain by the contact data near them, by an e-mail
+address that holds them, by a known first name and by small words around them, and
+lose by standing in lower case elsewhere; words of firms, departments and places
+rule them out.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tasklattice.llm.common import filled
+from tasklattice.llm.common import filled, fold
 
 TYPES = ("email", "phone", "national_id", "address", "name")
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
@@ -37,14 +43,18 @@ _INVISIBLE = "­​‌‍⁠﻿"
 _SPELLED = {w: str(i) for words in ("null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "zero uno due tre quattro cinque sei sette otto nove", "zero one two three four five six seven eight nine") for i, w in enumerate(words.split())} | {"zwo": "2", "oh": "0", "fuenf": "5"}
 _DIGIT_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _SIGNS = rf"(?P<gone>[{_INVISIBLE}]+)|(?P<space> [ {_INVISIBLE}]+)|(?P<at>[\[({{<]\s*(?:at|ät|ad|a|arobase|chiocciola|@)\s*[\])}}>][^\S\n]*)|(?P<dot>[\[({{<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}}>][^\S\n]*)"
-_DISGUISE = re.compile(_SIGNS, re.I)
+#: A dot said after an at sign, written or disguised: taken only behind one.
+_SAID_DOT = r"(?P<saiddot>(?<=\w)[^\S\n]+(?:dot|punkt|point|punto)[^\S\n]+(?=[a-z]))"
+_AFTER_AT = re.compile(r"@\s?[\w\-.]+$")
+_DISGUISE = re.compile(rf"{_SIGNS}|{_SAID_DOT}", re.I)
+_ANY_DOT = r"(?:\.|\s+(?:dot|punkt|point|punto)\s+|\s*[\[({{<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}}>]\s*)".replace("{{", "{").replace("}}", "}")
 #: Tried only where the automaton has seen spelled digits in a row or a spoken sign.
-_SPOKEN = re.compile(rf"{_SIGNS}|(?P<digits>\b(?:{_DIGIT_WORD})(?:[\s\-,]+(?:{_DIGIT_WORD})){{5,}}\b)|(?P<spoken>(?<=\w)\s(?:at|arobase|chiocciola|klammeraffe)\s+(?=[\w\-]+(?:\.|\s+(?:dot|punkt|point|punto)\s+)[a-z]))", re.I)
+_SPOKEN = re.compile(rf"{_SIGNS}|(?P<digits>\b(?:{_DIGIT_WORD})(?:[\s\-,]+(?:{_DIGIT_WORD})){{5,}}\b)|(?P<spoken>(?<=\w)\s(?:at|arobase|chiocciola|klammeraffe)\s+(?=[\w\-]+{_ANY_DOT}[a-z]))|{_SAID_DOT}", re.I)
 _LOOKING = re.compile("[" + re.escape("".join(_LOOKS)) + "]")
-_MAYBE = re.compile(rf"[{_INVISIBLE}]|  |[\[({{<]\s*(?:at|ät|ad|a|arobase|chiocciola|dot|punkt|point|punto|\.|@)\s*[\])}}>]", re.I)
+_MAYBE = re.compile(rf"[{_INVISIBLE}]|  |[\[({{<]\s*(?:at|ät|ad|a|arobase|chiocciola|dot|punkt|point|punto|\.|@)\s*[\])}}>]|@[\w\-.]+[^\S\n]+(?:dot|punkt|point|punto)\s", re.I)
 
 
-_SAID = re.compile(r"[\w\-]+(?:\.|\s+(?:dot|punkt|point|punto)\s+)[a-z]")
+_SAID = re.compile(rf"[\w\-]+{_ANY_DOT}[a-z]")
 
 
 def lower(text: str) -> str:
@@ -68,12 +78,14 @@ class Plain:
         out, starts, origins, n, last = [], [], [], 0, 0
         for m in (_SPOKEN if spoken else _DISGUISE).finditer(text):
             begin = m.start()
+            if m.lastgroup == "saiddot" and not _AFTER_AT.search("".join(out)[-64:] + text[max(last, begin - 64) : begin]):
+                continue
             if m.lastgroup in ("gone", "space"):
                 new = "" if m.lastgroup == "gone" else " "
             elif m.lastgroup == "digits":
                 new = "".join(_SPELLED[w.lower()] for w in re.findall(r"[^\W\d_]+", m.group()))
             else:
-                new = "." if m.lastgroup == "dot" else "@"
+                new = "." if m.lastgroup in ("dot", "saiddot") else "@"
                 while begin > last and text[begin - 1] in " \t\xa0":
                     begin -= 1
             for piece, at, same in ((text[last:begin], last, True), (new, begin, False)):
@@ -120,7 +132,10 @@ STREETS_DE = "strasse|straße|str.|weg|gasse|gässli|platz|allee|rain|halde|matt
 NO_STREETS = frozenset("arbeitsplatz parkplatz studienplatz ausbildungsplatz lehrplatz sitzplatz schulungsplatz marktplatz-job arbeitsweg umweg heimweg karriereweg bildungsweg lebensweg berufsweg ausweg rückweg hinweg".split())
 STREETS_ROMANCE = "rue|chemin|ch.|avenue|av.|route|rte|place|boulevard|bd|quai|allée|impasse|ruelle|passage|sentier|cours|via|viale|piazza|corso|vicolo|strada|largo|piazzale|salita|contrada|vicoletto".split("|")
 STREETS_EN = "street|st.|road|rd|rd.|lane|avenue|ave.|drive|square|close|way|court|place|hill|terrace|gardens|row|crescent|yard|walk".split("|")
-DOCUMENTS = "ahv|avs|avs-nr|ausweis|pass|passnummer|reisepass|identitätskarte|id-karte|id-nr|passeport|carte d'identité|passaporto|carta d'identità|passport|identity card|id card|social security|sozialversicherung|assurance sociale|previdenza sociale|nummer|numéro|numero|number|sozialversicherungsnummer".split("|")
+DOCUMENTS = "ahv|avs|avs-nr|ausweis|pass|passnummer|reisepass|identitätskarte|id-karte|id-nr|passeport|carte d'identité|passaporto|carta d'identità|passport|identity card|id card|social security|sozialversicherung|assurance sociale|previdenza sociale|sozialversicherungsnummer".split("|")
+#: Verbs and prepositions of asking someone, and labels before one.
+ASK = "call|contact|email|phone|reach out to|speak with|speak to|talk to|talk with|write to|ask for|get in touch with|hilft|hilft ihnen|berät sie|unterstützt sie|informiert sie|rufen sie|kontaktieren sie|melden sie sich bei|auskunft bei|fragen an|bewerbung an|contactez|contacter|appelez|appeler|écrivez à|demandez|auprès de|joindre|contatti|contattare|chiami|chiamare|scriva a|chieda di|rivolgersi a|presso".split("|")
+LABELS = "contact:|contact :|contact person:|contatto:|contatti:|ansprechpartner:|ansprechpartnerin:|kontaktperson:|personne de contact:|personne de contact :|persona di contatto:|referente:|recruiter:|hiring manager:|auskunft:|renseignements:|renseignements :|informazioni:|responsable:|responsable :|vorgesetzter:|vorgesetzte:".split("|")
 FIRST_NAMES = "oliver beat lukas regula reto urs sonja giulia anne-lise tamara ruedi yves hans-peter fabio marco luc dario emily claire noémie priska nadia heidi chiara josef elisabeth giuseppe alexander johann benjamin jacqueline margrit friedrich francesco michael katharina peter thomas daniel martin andreas christian stefan markus patrick bruno roland rené kurt werner walter ernst fritz hans max paul karl otto anna maria ursula ruth monika barbara sandra nicole daniela claudia karin brigitte silvia susanne verena christine esther sabine petra corinne franziska eva laura julia lena mia emma lara sara sarah lea nina pierre jean jacques michel philippe andré françois nicolas laurent pascal alain olivier julien antoine louis marie sophie nathalie isabelle catherine sylvie céline camille léa chloé manon luca matteo andrea paolo giovanni antonio roberto stefano alessandro davide simone carlo luigi elena francesca valentina martina paola lucia john james robert william david richard charles mary susan linda jennifer jessica karen nancy lisa betty helen".split()
 
 _NAME = r"[^\W\d_](?:[^\W\d_]|['\-](?=[^\W\d_]))+"
@@ -158,11 +173,66 @@ NO_NAME = frozenset(
 _FIRM_WORDS = frozenset("ag sa gmbh sàrl sarl genossenschaft co kg ltd inc immobilien technik informatik gerätebau apotheken sanitär maschinenbau verlag optik holzbau medizintechnik gartenbau treuhand versicherungen bäckerei textilien logistik energie personal".split())
 
 
+# Words of departments, places and things that follow verbs of asking.
+_NO_PERSON = frozenset(
+    "kunden kundschaft personen menschen mitarbeitende gemeinde stadt kanton bank spital klinik schule stiftung verein verband amt büro zentrum center centre central customer customers support care reception head headquarters hotline helpdesk recruiting recruitment talent people operations apply today monday tuesday wednesday thursday friday "
+    "montag dienstag mittwoch donnerstag freitag stelle stellen bewerbung unterlagen dossier ville commune canton banque hôpital école fondation association bureau centre candidature lundi mardi mercredi jeudi vendredi comune città cantone banca ospedale scuola fondazione associazione candidatura lunedì martedì mercoledì giovedì venerdì "
+    "monte ponte castel san santa saint sainte sankt bad lake north south east west rue via strasse platz schweiz suisse svizzera switzerland deutsch french german english italian".split()
+)
+_NOUN_END = re.compile(r"(?:ung|heit|keit|schaft|tion|strasse|straße|platz|gasse|weg|ismus|tät|ment|abteilung|dienst|stelle|team|leitung)(?:en|s)?$", re.I)
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿ](?:[^\W\d_]|['’\-](?=[^\W\d_]))+"
+_FULL_NAME = re.compile(rf"[^\S\n]*({_CAPITAL}(?:[^\S\n]+[^\W\d_]\.)?(?:[^\S\n]+(?:von|van|de|di|da|le|la|der|den|ter))*[^\S\n]+{_CAPITAL})(?![\w@])")
+_FULL_NAMES = re.compile(rf"(?<![\w@.\-])({_CAPITAL}[^\S\n]+{_CAPITAL})(?![\w@])")
+_SMALL = re.compile(r"(?<!\w)[a-zß-öø-ÿ][\w'’\-]*")
+#: From this weight on capitalised words are a person's name.
+NAME_WEIGHT = 2.5
+
+
+_STREETS = frozenset((*STREETS_DE, *STREETS_ROMANCE, *STREETS_EN))
+
+
+@cache
+def _known() -> frozenset[str]:
+    return frozenset(FIRST_NAMES)
+
+
+def name_weight(plain: Plain, a: int, b: int, asked: float, contacts: list[tuple[int, int]], locals_: set[str], small: set[str], company: str) -> float:
+    """How surely the capitalised words [a, b) name a person. ``asked`` is what
+    stands before them worth; ``contacts`` are the spans of e-mail addresses and
+    phone numbers in order, ``locals_`` the words of the addresses' local parts,
+    ``small`` the words that stand in lower case."""
+    text, low = plain.text, plain.low
+    ws = re.findall(_NAME, low[a:b])
+    firm = set(re.findall(_NAME, company.lower()))
+    if any(w in NO_NAME or w in _FIRM_WORDS or w in _NO_PERSON or w in firm or w in _STREETS or _NOUN_END.search(w) for w in ws):
+        return 0.0
+    if re.match(r"[\s,&+]*(?:\w+\s+)?(?:ag|sa|gmbh|sàrl|sarl|ltd|inc|kg|genossenschaft)\b", low[b : b + 24]) or text[a:b].isupper():
+        return 0.0
+    # Where all words around are capitalised, capitals tell nothing.
+    around = re.findall(r"(?<![\w@.])[^\W\d_]", text[max(0, a - 60) : a] + " " + text[b : b + 60])
+    if len(around) >= 4 and sum(x.islower() for x in around) < 0.2 * len(around):
+        return 0.0
+    w = asked
+    if any(fold(x) in locals_ for x in ws if len(x) >= 4):
+        w += 3
+    k = bisect_right(contacts, (a, a))
+    for s, e in contacts[max(0, k - 1) : k + 1]:
+        between = text[b:s] if s >= b else text[e:a]
+        if len(between) <= (45 if s >= b else 12) and not re.search(r"[.!?]\s+[^\W\d_]|\n\s*\n", between) and (s >= b or "\n" not in between):
+            w += 1.5
+            break
+    w += 1.0 * any(x in _known() for x in ws)
+    w += 0.5 * bool(re.match(r"\s*(?:$|[.,;:!?()\n–-]|[a-zß-öø-ÿ])", text[b : b + 3]))
+    w += 0.5 * bool(re.search(r"[a-zß-öø-ÿ][\w'’]*[^\S\n]+$", text[max(0, a - 24) : a])) * (not asked)
+    w -= 1.5 * any(x in small for x in ws)
+    return w
+
+
 @cache
 def cues() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     words: dict[str, list[str]] = {}
-    for kind, ws in (("hon", HONORIFICS), ("before", BEFORE), ("after", AFTER), ("de", STREETS_DE), ("rom", STREETS_ROMANCE), ("en", STREETS_EN), ("doc", DOCUMENTS), ("first", FIRST_NAMES), ("digit", _SPELLED), ("said", (" at ", " arobase ", " chiocciola ", " klammeraffe "))):
+    for kind, ws in (("hon", HONORIFICS), ("before", BEFORE), ("after", AFTER), ("ask", ASK), ("label", LABELS), ("de", STREETS_DE), ("rom", STREETS_ROMANCE), ("en", STREETS_EN), ("doc", DOCUMENTS), ("first", FIRST_NAMES), ("digit", _SPELLED), ("said", (" at ", " arobase ", " chiocciola ", " klammeraffe "))):
         for w in ws:
             words.setdefault(w, []).append(kind)
     for w, kinds in words.items():
@@ -180,6 +250,13 @@ def _named(text: str, start: int, end: int, address: bool) -> bool:
 
 
 
+def checked(number: str) -> bool:
+    """Whether the last digit of a social security number is its check digit (as
+    in article numbers: weights of one and three, a sum divisible by ten)."""
+    d = [int(x) for x in re.sub(r"\D", "", number)]
+    return sum(x * (3 if i % 2 else 1) for i, x in enumerate(d)) % 10 == 0
+
+
 def detect(plain: Plain, company: str = "") -> list[tuple[int, int, str]]:
     """Spans of personal information in a plain text: start, end, type."""
     text, low, n = plain.text, plain.low, len(plain.text)
@@ -192,8 +269,8 @@ def detect(plain: Plain, company: str = "") -> list[tuple[int, int, str]]:
         at = low.find("@", at + 1)
     mails = list(found)
     inside = lambda a, b: any(s < b and a < e for s, e, _ in mails)
-    for m in _AHV.finditer(text) if "756" in text else ():
-        found.append((m.start(), m.end(), "national_id"))
+    numbers = [(m.start(), m.end()) for m in _AHV.finditer(text)] if "756" in text else []
+    found += [(*m, "national_id") for m in numbers if checked(text[slice(*m)])]
     ids = [f for f in found if f[2] == "national_id"]
     for m in (x for run in _DIGITS.finditer(text) if sum(ch.isdigit() for ch in run.group()) >= 9 for x in _NUMBER.finditer(text, max(0, run.start() - 1), min(n, run.end() + 1))):
         digits = re.sub(r"\D", "", m.group())
@@ -202,6 +279,9 @@ def detect(plain: Plain, company: str = "") -> list[tuple[int, int, str]]:
         if ok and not inside(m.start(), m.end()) and not any(s < m.end() and m.start() < e for s, e, _ in ids):
             begin = m.end() - len(m.group().lstrip())
             found.append((begin + (text[begin] == "(" and ")" not in m.group()), m.end(), "phone"))
+    contacts = sorted((s, e) for s, e, t in found if t in ("email", "phone"))
+    mail_words = {fold(w) for s, e, t in mails for w in re.split(r"[\W\d_]+", text[s:e].split("@")[0]) if len(w) >= 4}
+    asked: list[tuple[int, float]] = []
     documents: list[int] = []
     titled: set[int] = set()
     for end, (length, word, kinds) in plain.hits:
@@ -232,6 +312,8 @@ def detect(plain: Plain, company: str = "") -> list[tuple[int, int, str]]:
             elif kind == "en":
                 if (p := _BEFORE_EN.search(text, max(0, a - 48), a)) and not any(w in NO_NAME or w in ("weeks", "years", "days", "people", "months", "hours", "percent", "clients", "employees") for w in p.group(2).lower().split()[:-1] + p.group(2).lower().split()[:1]):
                     found.append((p.start(1), b, "address"))
+            elif kind in ("ask", "label"):
+                asked.append((b, 3.0 if kind == "label" else 2.0))
             elif kind == "doc":
                 documents.append(b)
             elif kind == "hon":
@@ -278,6 +360,16 @@ def detect(plain: Plain, company: str = "") -> list[tuple[int, int, str]]:
                         continue
                     if m.start() >= b or ("," in m.group() or other.isupper()):
                         found.append((min(a, m.start(1)), max(b, m.end(1)), "name"))
+    tried = [(m.span(1), worth) for b, worth in asked if (m := _FULL_NAME.match(text, b))]
+    for s, _ in contacts:
+        tried += [(m.span(1), 0.0) for m in _FULL_NAMES.finditer(text, max(0, s - 70), s)]
+    small = set(_SMALL.findall(text)) if tried else set()
+    taken = sorted((x, y) for x, y, t in found if t == "name")
+    for (a, b), worth in tried:
+        k = bisect_right(taken, (b, -1))
+        if not any(a < y for _, y in taken[max(0, k - 2) : k]) and name_weight(plain, a, b, worth, contacts, mail_words, small, company) >= NAME_WEIGHT:
+            found.append((a, b, "name"))
+    found += [(*m, "national_id") for m in numbers if not checked(text[slice(*m)]) and any(0 <= m[0] - d <= 40 for d in documents)]
     for m in _SERIAL.finditer(text) if documents else ():
         if any(0 <= m.start() - d <= 40 for d in documents) and not inside(*m.span()):
             found.append((m.start(), m.end(), "national_id"))

@@ -23,7 +23,19 @@ CASES = [
     ("Olvaux, Tamara is happy to answer.", "[NAME] is happy to answer."),
     ("Ihre\tAnsprechperson  ist\xa0Herr   Gubovic .", "Ihre\tAnsprechperson  ist\xa0[NAME] ."),
     ("L'adresse suivante :96b,  rue  du Vieux-Moulin.", "L'adresse suivante :[ADDRESS]."),
+    # names that no phrase announces
+    ("Please call Dorothea Zumstein on 044 555 31 22.", "Please call [NAME] on [PHONE]."),
+    ("Contact: Wojciech Szymański", "Contact: [NAME]"),
+    ("For details reach out to Priyanka Raghunathan.", "For details reach out to [NAME]."),
+    ("Bei Fragen hilft Thorvald Kröger gerne.", "Bei Fragen hilft [NAME] gerne."),
+    ("Senden Sie Ihr Dossier an Wanda Miskovic, wanda.miskovic@firma.example", "Senden Sie Ihr Dossier an [NAME], [EMAIL]"),
+    # disguises of two kinds in one address
+    ("Write to jon [at] acme dot ch today", "Write to [EMAIL] today"), ("Write to jon at acme [dot] ch today", "Write to [EMAIL] today"), ("mail jon@acme dot ch", "mail [EMAIL]"),
+    ("Passport number AB123456", "Passport number [NATIONAL_ID]"), ("AHV 756.1234.5678.90", "AHV [NATIONAL_ID]"),
     # no cases
+    *[(x, x) for x in ("Reference number AB123456 applies.", "Artikel 7561234567890 liegt bereit", "Rufen Sie die Human Resources an.", "Contact: Customer Service", "Alle Nutzen Dürfen Kostenlose Parkplätze Nach Der Probezeit.", "The site lies close to Harwick Lane and is easy to reach.", "the point is at acme. Then dot com grew")],
+    ("Das Team Verkauf Innendienst erreichen Sie unter 044 555 31 22", "Das Team Verkauf Innendienst erreichen Sie unter [PHONE]"),
+    ("Alle Nutzen Kostenlose Parkplätze Hinzu. Rufen Sie An 0041 22 555 38 22", "Alle Nutzen Kostenlose Parkplätze Hinzu. Rufen Sie An [PHONE]"),
     *[(x, x) for x in ("Artikel 8166-649 bleibt im Sortiment.", "Referenz 2018-A9874, Norm 7957:2015", "Das Budget beträgt 422'1718 Franken.", "Der Betrieb liegt nahe der Lindhofstrasse und hat 40 Plätze.", "Eintritt: 24.12.2024", "Im Projekt Anna arbeiten 42 Personen.", "La mise en place de machines pour près de 679 clients.", "Josef Gonadriwe Informatik AG sucht Verstärkung.", "Arbeitsplatz 80%", "Salary band: 6370\nPlace of work: Ort\nWorkload: 85%", "salary band 6370 place of work ort workload 85 start", "Der Lohn liegt zwischen CHF 4'750 und 10'500.", "")],
 ]
 
