@@ -29,9 +29,15 @@ COMMON = frozenset(
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _MARK = re.compile(r"\s*(?:[-*•·–—‣▪○●►>+]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)])\s+\S")
-_END = re.compile(r"[.!?…:»\"”'’)\]]*[.!?…][»\"”'’)\]]*\s*$")
+_CLOSERS, _STOPS = "»\"”'’)]", (".", "!", "?", "…")
 _NUMBER = re.compile(r"[+\-]?\d[\d.,'’%:/\-]*")
-_CODE = re.compile(r"(?:\bat\s+[\w.$<>]+\s*\(|0x[0-9a-fA-F]{2,}|Traceback|Exception|\bFile \"[^\"]*\", line \d+|</?[a-zA-Z][^>]{0,80}>|[{};]\s*$|\w+\(\w*\)\s*[;{]|=>|::|&[a-z]{2,6};|\$\{|\{\{|%[sd]\b|\b(?:var|function|const|return|import|def|null|undefined|NaN)\b)", re.M)
+_CODE = re.compile(r"(?:\bat\s+[\w.$<>]+\s*\(|0x[0-9a-fA-F]{2,}|Traceback|Exception|\bFile \"[^\"]*\", line \d+|</?[a-zA-Z][^>]{0,80}>|[{};]\s*$|(?<!\w)\w++\(\w*+\)\s*[;{]|=>|::|&[a-z]{2,6};|\$\{|\{\{|%[sd]\b|\b(?:var|function|const|return|import|def|null|undefined|NaN)\b)", re.M)
+#: What every trace of code, or of a broken encoding, holds.
+_MAYBE_CODE = re.compile(r"[<{};$%&(]|=>|::|0x|Traceback|Exception|File \"|var|function|const|return|import|def|null|undefined|NaN")
+_MAYBE_BROKEN = re.compile("[�\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9fÃÂâ]")
+_LOST = re.compile(r"[?¦¤§¬¨](?<=[^\W\d_].)(?=[^\W\d_])")
+_NOT_ALNUM = re.compile(r"[\W_]+")
+_NOT_DIGIT = re.compile(r"\D+")
 _BROKEN = re.compile(r"[�\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]|[ÃÂâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹Œ¢£¤¥¦§¨©ª«¬®¯°±²³´µ¶·¸¹º»¼½¾¿]|Ã.")
 _TEMPLATE = re.compile(r"\{\{?[\w .]+\}?\}|\[\[?[\w .]+\]?\]|<%.*?%>|\$\{.*?\}|<<[^>]*>>|%%\w+%%|lorem ipsum|\bX{3,}\b|_{3,}", re.I)
 _MENU = re.compile(r"(?:\s[|›»>/·•]\s|\s{2,}|<<|>>)")
@@ -47,7 +53,7 @@ def delimiter_alignment(lines: list[str]) -> float:
     best = 0.0
     lines = [x.rstrip(" ;,") for x in lines]
     for d in _DELIMITERS:
-        counts = [len(re.findall(r",(?! )", x)) if d == "," else x.count(d) for x in lines]
+        counts = [x.count(",") - x.count(", ") if d == "," else x.count(d) for x in lines]
         (k, n), *_ = Counter(counts).most_common(1)
         if k == 0:
             rest = Counter(c for c in counts if c)
@@ -61,7 +67,7 @@ def delimiter_alignment(lines: list[str]) -> float:
 def blank_alignment(lines: list[str]) -> float:
     """Share of the lines that fall into the most frequent number (two at least)
     of columns set apart by two or more blanks."""
-    counts = Counter(len(re.split(r"\s{2,}", x.strip())) for x in lines)
+    counts = Counter(len(re.split(r"\s{2,}", x)) for x in (x.strip() for x in lines) if len(x.split()) > 1)
     n = max((v for k, v in counts.items() if k >= 2), default=0)
     return n / len(lines)
 
@@ -75,6 +81,17 @@ def periodicity(values: list[int]) -> float:
     return float(max((v[:-k] * v[k:]).sum() / (v * v).sum() for k in range(1, min(5, len(v) - 1))))
 
 
+def words(text: str) -> list[str]:
+    """The words of a text in lower case."""
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
+
+
+def ended(line: str) -> bool:
+    """Whether a line ends in a stop, closing quotes and brackets aside."""
+    return line.rstrip().rstrip(_CLOSERS).endswith(_STOPS)
+
+
 def statistics(text: str | None) -> dict[str, float]:
     """The statistics of one text; all 0 for a null or blank one."""
     out = dict.fromkeys(STATS, 0.0)
@@ -82,20 +99,19 @@ def statistics(text: str | None) -> dict[str, float]:
     lines = [x for x in text.splitlines() if x.strip()]
     if not lines:
         return out
-    ws = _WORD.findall(text)
-    low = [w.lower() for w in ws]
-    solid = sum(not ch.isspace() for ch in text)
-    letters = sum(map(len, ws))
-    digits = sum(ch.isdigit() for ch in text)
+    low = words(text)
     tokens = text.split()
+    solid = sum(map(len, tokens))
+    letters = sum(map(len, low))
+    digits = len(_NOT_DIGIT.sub("", text))
     counts = Counter(low)
     lengths = [len(x.strip()) for x in lines]
-    out["n_words"], out["n_lines"] = len(ws), len(lines)
-    out["mean_word_length"] = letters / len(ws) if ws else 0.0
+    out["n_words"], out["n_lines"] = len(low), len(lines)
+    out["mean_word_length"] = letters / len(low) if low else 0.0
     out["digit_ratio"] = digits / solid
-    out["symbol_ratio"] = sum(not ch.isalnum() and not ch.isspace() for ch in text) / solid
+    out["symbol_ratio"] = (solid - len(_NOT_ALNUM.sub("", text))) / solid
     out["common_share"] = sum(counts[w] for w in counts if w in COMMON) / len(low) if low else 0.0
-    out["end_share"] = sum(bool(_END.search(x)) for x in lines) / len(lines)
+    out["end_share"] = sum(map(ended, lines)) / len(lines)
     out["mark_share"] = sum(bool(_MARK.match(x)) for x in lines) / len(lines)
     if len(lines) >= 2:
         out["delimiter_alignment"], out["blank_alignment"] = delimiter_alignment(lines), blank_alignment(lines)
@@ -105,10 +121,10 @@ def statistics(text: str | None) -> dict[str, float]:
     total = sum(counts.values())
     out["entropy"] = -sum(n / total * log2(n / total) for n in counts.values()) if total else 0.0
     # Words that stand again within the four before them, prose seldom does that.
-    out["repeat_share"] = sum(low[i] in low[max(0, i - 4) : i] for i in range(1, len(low))) / max(1, len(low) - 1)
+    out["repeat_share"] = sum(w == a or w == b or w == c or w == d for w, a, b, c, d in zip(low, [None, *low], [None] * 2 + low, [None] * 3 + low, [None] * 4 + low)) / max(1, len(low) - 1)
     out["duplicate_line_share"] = 1 - len({x.strip() for x in lines}) / len(lines)
-    out["code_share"] = sum(bool(_CODE.search(x)) for x in lines) / len(lines)
-    out["broken_share"] = len(_BROKEN.findall(text)) / solid
+    out["code_share"] = sum(bool(_MAYBE_CODE.search(x) and _CODE.search(x)) for x in lines) / len(lines)
+    out["broken_share"] = len(_BROKEN.findall(text)) / solid if _MAYBE_BROKEN.search(text) else 0.0
     out["longest_word"] = max(map(len, tokens), default=0)
     return out
 
@@ -120,12 +136,12 @@ def sentences_of(text: str) -> tuple[int, float, int]:
     n = inside = total = stops = 0
     for p in re.split(r"\n\s*\n", text):
         for s in re.split(r"(?<=[.!?…])\s+", " ".join(p.split())):
-            w = _WORD.findall(s)
+            w = words(s)
             total += len(w)
-            if len(w) >= 4 and sum(x.lower() in COMMON for x in w) >= max(1, 0.12 * len(w)):
+            if len(w) >= 4 and sum(x in COMMON for x in w) >= max(1, 0.12 * len(w)):
                 n += 1
                 inside += len(w)
-                stops += bool(_END.search(s))
+                stops += ended(s)
     return n, inside / total if total else 0.0, stops
 
 
@@ -150,7 +166,7 @@ def kind(text: str | None, s: dict[str, float] | None = None) -> str:
         cells = [c for x in lines for c in re.split(r"[\t|;,]|\s{2,}", x.strip()) if c.strip()]
         numbers = len(lines) >= 2 and len(cells) >= 2 * len(lines) and all(_NUMBER.fullmatch(c.strip()) for c in cells)
         return "table" if numbers and max(s["delimiter_alignment"], s["blank_alignment"]) >= 0.8 else "junk"
-    if s["broken_share"] > 0.02 or text.count("�") + len(re.findall(r"(?<=[^\W\d_])[?¦¤§¬¨](?=[^\W\d_])", text)) > 0.02 * len(text):
+    if s["broken_share"] > 0.02 or text.count("�") + len(_LOST.findall(text)) > 0.02 * len(text):
         return "junk"
     if len(lines) >= 3 and s["duplicate_line_share"] > 0.6:
         return "junk"
