@@ -49,6 +49,29 @@ class EchoModel:
         return [json.dumps([s.strip() for s in re.split(r"(?<=[.!?])\s+", p or "") if re.search(r"model|modèl|modell", s, re.I)], ensure_ascii=False) for p in prompts]
 
 
+class SeededModel:
+    """As :class:`EchoModel`, but each seed overlooks one sentence in four."""
+
+    def __init__(self, seed: int):
+        self.seed = seed
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        seen = lambda s: crc32(f"{self.seed}|{s}".encode()) % 4 > 0
+        return [json.dumps([s for s in json.loads(a) if seen(s)], ensure_ascii=False) for a in EchoModel()(prompts)]
+
+
+def ensemble(rows: DataFrame, column: str, model, runs: int = 5, least: int = 3, key: str = "uid") -> DataFrame:
+    """(key, item, votes): the statements that at least ``least`` of ``runs``
+    answers hold. ``model`` makes a model from a seed; each run asks its own."""
+    from tasklattice.functions.structured import exploded
+
+    answers = None
+    for seed in range(runs):
+        one = exploded(completed(rows, column, model(seed), key).select(key, "response"), key, "response").select(key, "item").distinct()
+        answers = one if answers is None else answers.unionByName(one)
+    return answers.groupBy(key, "item").agg(F.count("*").alias("votes")).filter(F.col("votes") >= least)
+
+
 def embedded(rows: DataFrame, column: str, model) -> DataFrame:
     schema = rows.schema.simpleString()[7:-1].replace(":", " ")
 

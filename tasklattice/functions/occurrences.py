@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 _HIT = re.compile(r"\b(?:ai|ki|ia)\b", re.I)
 #: Words whose presence within six words marks the technology.
 CONTEXT = frozenset("data daten données dati machine maschinelles learning deep neural neuronale model models modelle modell modèles modelli algorithm algorithmen algorithme software digital digitale tech technologie technology intelligence intelligenz intelligenza artificial artificielle artificiale künstliche künstlicher automation automatisierung cloud python engineer".split())
+# The codes of the Swiss cantons.
 CANTONS = frozenset("AG AI AR BE BL BS FR GE GL GR JU LU NE NW OW SG SH SO SZ TG TI UR VD VS ZG ZH".split())
 
 
@@ -30,10 +31,10 @@ def classify(text: str, lang: str = "") -> list[tuple[int, str, str]]:
     other. In Italian and French ``ai`` is a word of the language unless its
     letters are capitals or the words around speak of technology."""
     words = [(m.start(), m.group().lower()) for m in re.finditer(r"\w+", text)]
-    starts = [a for a, _ in words]
+    starts = {a: i for i, (a, _) in enumerate(words)}
     out = []
     for m in _HIT.finditer(text):
-        i = starts.index(m.start()) if m.start() in starts else 0
+        i = starts.get(m.start(), 0)
         around = {w for _, w in words[max(0, i - 6) : i + 7]}
         if is_canton(text, m.start()):
             kind = "canton"

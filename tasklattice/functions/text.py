@@ -1,12 +1,11 @@
 """Text columns: normalising, keywords, hashes, simple language marks.
 
-All but the four of :data:`WHOLE` are built from native expressions; null in
-gives null out unless said otherwise.
+All but :func:`html_text_of` are built from native expressions; null in gives null
+out unless said otherwise.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 import unicodedata
@@ -16,28 +15,52 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what they become.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+def _decomposed() -> tuple[str, str]:
+    """The letters that decompose into an ASCII letter and accents, and the letters
+    they become."""
+    pairs = {}
+    for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        first, *rest = unicodedata.normalize("NFD", chr(cp))
+        if rest and first.isascii() and all(unicodedata.combining(x) for x in rest):
+            pairs[chr(cp)] = first
+    return "".join(pairs), "".join(pairs.values())
+
+
+ACCENTED, UNACCENTED = _decomposed()
+# Letters and signs that no canonical decomposition takes apart.
+LETTERS = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH", "ł": "l", "Ł": "L", "ı": "i", "ħ": "h", "Ħ": "H", "ŋ": "n", "Ŋ": "N", "ŧ": "t", "Ŧ": "T", "№": "No"}
+#: White space of any script, the same in Java, RE2 and Python's ``str.split``.
+SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, UNACCENTED)
+    """Letters with accents become plain ones; accents that stand alone vanish."""
+    return F.regexp_replace(F.translate(c, ACCENTED, UNACCENTED), "[\u0300-\u036f]", "")
 
 
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def collapse_all(c: Column) -> Column:
+    """Runs of white space of any script become one blank, none at the ends."""
+    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+
+
 def normalize_ascii(c: Column) -> Column:
     """Without accents and other signs beyond ASCII, lower case, single blanks;
     punctuation stays."""
-    return collapse(F.regexp_replace(F.lower(strip_accents(c)), r"[^\x00-\x7F]", ""))
+    return collapse_all(F.lower(F.regexp_replace(strip_accents(c), r"[^\x00-\x7F]", "")))
 
 
 def normalize_db(c: Column) -> Column:
-    """As :func:`normalize_ascii`, but every run of other signs is one blank."""
-    return collapse(F.regexp_replace(F.lower(strip_accents(c)), r"[^a-z0-9]+", " "))
+    """Without accents (and ß as ss, æ as ae and their like), lower case; every run
+    of signs that are no letter or digit of any script is one blank."""
+    plain = F.translate(c, *map("".join, zip(*((k, v) for k, v in LETTERS.items() if len(v) == 1), strict=True)))
+    for letter, two in ((k, v) for k, v in LETTERS.items() if len(v) == 2):
+        plain = F.replace(plain, F.lit(letter), F.lit(two))
+    return collapse_all(F.regexp_replace(F.lower(strip_accents(plain)), r"[^\p{L}\p{N}\s]+", " "))
 
 
 def canonicalize(c: Column) -> Column:
@@ -54,14 +77,6 @@ def normalize_firm(c: Column) -> Column:
     return collapse(F.regexp_replace(plain, rf"\b({FIRM_WORDS})\b", " "))
 
 
-def html_clean(c: Column) -> Column:
-    """Without tags and the common entities, lower case, single blanks."""
-    t = F.regexp_replace(c, "<[^>]+>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(sign))
-    return collapse(F.lower(t))
-
-
 _EDGE = "(^|[^a-z0-9_])", "([^a-z0-9_]|$)"
 
 
@@ -93,21 +108,6 @@ def pattern_classes(terms: list[str]) -> dict[str, list[str]]:
     return out
 
 
-def any_keyword(c: Column, terms: list[str]) -> Column:
-    """Whether normalised text holds one of ``terms``: short ones between word
-    edges, long ones anywhere, phrases with any separators."""
-    k = pattern_classes(terms)
-    parts = [word_pattern(t) for t in k["dotted"] + k["short"]] + k["long"] + [flexible_phrase(t) for t in k["phrase"]]
-    return c.rlike("|".join(f"(?:{p})" for p in parts))
-
-
-def matched_keywords(c: Column, terms: list[str]) -> Column:
-    """The sorted terms that occur between word edges, joined by a comma and a
-    blank; '' for none."""
-    hits = F.array(*[F.when(c.rlike(word_pattern(t)), F.lit(t)) for t in terms])
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))), ", ")
-
-
 # Ten stop words of each language, in the order ties are decided.
 STOP_WORDS = {
     "de": "der die das und ist in den von zu mit".split(),
@@ -129,17 +129,17 @@ def language_by_stop_words(c: Column) -> Column:
     return out
 
 
-def only_after_numbers(c: Column) -> Column:
-    """Whether ``ml`` occurs and always as a unit behind a digit."""
+def only_after_numbers(c: Column, word: str = "ml") -> Column:
+    """Whether ``word`` occurs and always as a unit behind a digit."""
     t = F.lower(c)
-    everywhere, unit = F.regexp_count(t, F.lit(r"\bml\b")), F.regexp_count(t, F.lit(r"\d\s*ml\b"))
-    glued = F.regexp_count(t, F.lit(r"\dml\b"))
+    everywhere, unit = F.regexp_count(t, F.lit(rf"\b{word}\b")), F.regexp_count(t, F.lit(rf"[0-9]\s*{word}\b"))
+    glued = F.regexp_count(t, F.lit(rf"[0-9]{word}\b"))
     return (everywhere + glued > 0) & (everywhere + glued == unit)
 
 
 def md5_content(c: Column) -> Column:
     """Digest of the lower-case text with single blanks; null counts as ''."""
-    return F.md5(F.coalesce(collapse(F.lower(c)), F.lit("")).cast("binary"))
+    return F.md5(F.coalesce(collapse_all(F.lower(c)), F.lit("")).cast("binary"))
 
 
 def app_id(c: Column) -> Column:
@@ -191,6 +191,7 @@ def broad_code(c: Column) -> Column:
 
 
 def uuid_or_null(c: Column) -> Column:
+    # Fixed value: the form of a UUID.
     return F.when(F.lower(c).rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), c)
 
 
@@ -200,26 +201,8 @@ def year_prefix(c: Column, least: int = 2000, most: int = 2030) -> Column:
     return F.when(y.between(least, most), y)
 
 
-# Latin letters that no decomposition takes apart.
-_LETTERS = str.maketrans({"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH", "ł": "l", "Ł": "L", "ı": "i", "ħ": "h", "Ħ": "H", "ŋ": "n", "Ŋ": "N", "ŧ": "t", "Ŧ": "T"})
-
-
 def _collapsed(t: str) -> str:
-    return re.sub(r"\s+", " ", t).strip()
-
-
-def ascii_of(t: str | None) -> str | None:
-    """Decomposed, without what is beyond ASCII, lower case, single blanks."""
-    return None if t is None else _collapsed(unicodedata.normalize("NFD", t).encode("ascii", "ignore").decode("ascii").lower())
-
-
-def unaccented_of(t: str | None) -> str | None:
-    """Without accents, lower case; runs of signs that are no letter or digit of
-    any script are one blank."""
-    if t is None:
-        return None
-    plain = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", t.translate(_LETTERS)))
-    return _collapsed(re.sub(r"[\W_]+", " ", unicodedata.normalize("NFC", plain).lower()))
+    return " ".join(t.split())
 
 
 def html_text_of(t: str | None) -> str:
@@ -228,15 +211,6 @@ def html_text_of(t: str | None) -> str:
     return "" if t is None else _collapsed(unicodedata.normalize("NFKC", re.sub(r"<[^>]+>", " ", html.unescape(t))).lower())
 
 
-def md5_of(t: str | None) -> str:
-    """Digest of the lower-case text with single blanks; null counts as ''."""
-    return hashlib.md5(_collapsed((t or "").lower()).encode()).hexdigest()
-
-
-#: Normalisers for text of any script, which native expressions cannot follow.
-WHOLE = (ascii_of, unaccented_of, html_text_of, md5_of)
-
-
 def each(f: Callable[[str | None], str | None], c: Column) -> Column:
     """``f`` of every text, in Arrow batches."""
 
@@ -251,5 +225,5 @@ def text_array(c: Column) -> Column:
     """The trimmed parts of a list written with brackets, quotes and commas; null
     for null, 'null' and lists without any part."""
     bare = F.regexp_replace(c, r"""[\[\]{}'"]""", "")
-    parts = F.filter(F.transform(F.split(bare, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(bare, ","), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")), lambda x: x != "")
     return F.when((F.trim(c) != "null") & (F.size(parts) > 0), parts)

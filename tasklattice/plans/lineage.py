@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the session's, else the one the cluster names
-    in ``spark.checkpoint.dir``; only where none is set (tests on one machine) a
-    temporary one."""
+    in ``spark.checkpoint.dir``; only where none is set and all runs on one machine
+    (tests) a temporary one. A cluster without a shared folder is an error, as its
+    executors would write to disks of their own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tasklattice-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -162,34 +162,35 @@ def cast_utc_suffix(spark, d):
     return table(spark, d, "job_postings_unified").select("uid", F.regexp_replace(t, " UTC$", "+00:00").alias("created")).distinct()
 
 
-@q("select distinct uid, list_filter(string_split_regex(regexp_replace(coalesce(x28_occupations, ''), '[\\[\\]{}''\"]', '', 'g'), '\\s*,\\s*'), lambda x: x <> '') as parts from job_postings_unified where x28_occupations is not null and trim(x28_occupations) = x28_occupations")
-def cast_text_array(spark, d):
-    c = F.regexp_replace("x28_occupations", r"""[\[\]{}'"]""", "")
-    rows = table(spark, d, "job_postings_unified").filter("x28_occupations is not null and trim(x28_occupations) = x28_occupations")
-    return rows.select("uid", F.filter(F.split(c, r"\s*,\s*"), lambda x: x != "").alias("parts")).distinct()
+_PART = f"regexp_replace(x, '^{T.SPACE}+|{T.SPACE}+$', '', 'g')"
+_PARTS = f"""list_filter(list_transform(string_split(regexp_replace(x28_occupations, '[\\[\\]{{}}''"]', '', 'g'), ','), lambda x: {_PART}), lambda x: x <> '')"""
 
 
-@q()
-def cast_text_array_all(spark, d):
-    """All ads, also those whose list is null, empty or set between blanks."""
+@q(f"select distinct uid, case when trim(x28_occupations) <> 'null' and len({_PARTS}) > 0 then {_PARTS} end as parts from job_postings_unified")
+def cast_text_array(spark, d):
     return table(spark, d, "job_postings_unified").select("uid", T.text_array(F.col("x28_occupations")).alias("parts")).distinct()
 
 
 @q()
 def text_occurrences(spark, d):
-    return O.occurrences(table(spark, d, "job_postings_unified").select("uid", "content_clean").distinct(), "uid", "content_clean")
+    return O.occurrences(table(spark, d, "documents").select("doc_id", "text").distinct(), "doc_id", "text")
 
 
 @q()
 def text_fp_filter(spark, d):
-    """Ads all of whose hits are cantons or other words."""
-    hits = O.occurrences(table(spark, d, "job_postings_unified").select("uid", "content_clean").distinct(), "uid", "content_clean")
-    return hits.groupBy("uid").agg(F.count("*").alias("n_hits"), F.count_if(F.col("kind").isin("technology", "context")).alias("n_real")).withColumn("dropped", F.col("n_real") == 0)
+    """Documents all of whose hits are cantons or other words."""
+    hits = O.occurrences(table(spark, d, "documents").select("doc_id", "text").distinct(), "doc_id", "text")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.count_if(F.col("kind").isin("technology", "context")).alias("n_real")).withColumn("dropped", F.col("n_real") == 0)
+
+
+_UNITS = ("ml", "wochen", "semaines", "settimane", "weeks")
 
 
-@q("select doc_id from documents where regexp_matches(lower(text), '\\bml\\b|[0-9]ml\\b') and len(regexp_extract_all(lower(text), '\\bml\\b|[0-9]ml\\b')) = len(regexp_extract_all(lower(text), '[0-9] *ml\\b'))")
+@q(" union all ".join(f"select doc_id, '{w}' as unit from documents where regexp_matches(lower(text), '\\b{w}\\b|[0-9]{w}\\b') and len(regexp_extract_all(lower(text), '\\b{w}\\b|[0-9]{w}\\b')) = len(regexp_extract_all(lower(text), '[0-9]\\s*{w}\\b'))" for w in _UNITS))
 def text_ml_after_number(spark, d):
-    return table(spark, d, "documents").filter(T.only_after_numbers(F.col("text"))).select("doc_id")
+    """Documents in which a word is only a unit behind numbers."""
+    unit = F.explode(F.filter(F.array(*[F.when(T.only_after_numbers(F.col("text"), w), F.lit(w)) for w in _UNITS]), lambda x: x.isNotNull()))
+    return table(spark, d, "documents").select("doc_id", unit.alias("unit"))
 
 
 @q("with w as (select distinct uid, regexp_matches(' ' || lower(content_clean) || ' ', ' (maschinen|modelle|sensordaten) ') hit from job_postings_unified where content_clean is not null) select uid from w where hit")

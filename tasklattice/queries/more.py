@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tasklattice.functions import keywords as K
 from tasklattice.functions import models
 from tasklattice.functions import occurrences as O
 from tasklattice.functions import structured as S
+from tasklattice.functions import text as T
 from tasklattice.operators import estimators as E
-from tasklattice.operators import panel, similarity, studies
+from tasklattice.operators import panel, sampling, similarity, studies
 from tasklattice.plans.lineage import cut, shared_dir
 from tasklattice.queries.aggregates import _GOOD, _jobs, _pairs
 from tasklattice.queries.estimators import _out, _panel
@@ -27,6 +29,7 @@ QUERIES, SQL = q.queries, q.sql
 
 JOBS = "stage6_jobs_linked__jobads_isco_variant"
 _P = "p as (select o_custkey id, year(o_orderdate) yr, sum(o_totalprice) / 1e5 v, count(*) n from orders group by 1, 2)"
+_GOOD_PAIRS = "(select * from similarity_df where similarity is not null and not isnan(similarity))"
 
 
 def _place(spark):
@@ -114,10 +117,15 @@ def text_classify_occurrence(spark, d):
     return O.occurrences(docs, "doc_id", "text").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@q("select doc_id from documents where source = 'survey_notes' and contains(lower(text), 'maschine') and not lang in ('it', 'fr')")
+_SOLE = ["modelle", "sql", "aa", "maschinen", "modèles", "modelli", "models"]
+
+
+@q("with m as (select doc_id, lang, list_filter([" + ", ".join(f"case when regexp_matches(lower(text), '{T.word_pattern(t)}') then '{t}' end" for t in _SOLE) + "], lambda x: x is not null) as k from documents) select doc_id, len(k) = 1 and k[1] in ('aa', 'sql') and coalesce(lang, '') not in ('it', 'fr') as dropped from m where len(k) > 0")
 def text_aa_language(spark, d):
-    c = F.col
-    return table(spark, d, "documents").filter((c("source") == "survey_notes") & F.lower("text").contains("maschine") & ~c("lang").isin("it", "fr")).select("doc_id")
+    """Of the documents with keywords: whether to drop one whose only keyword is
+    ambiguous, unless it is Italian or French."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", K.matched(F.col("text"), _SOLE).alias("k")).filter("k <> ''")
+    return rows.select("doc_id", (F.col("k").isin("aa", "sql") & ~F.coalesce("lang", F.lit("")).isin("it", "fr")).alias("dropped"))
 
 
 @q("select md5(string_agg(isco_code || title_en, '|' order by isco_code)) as h from occupation_reference")
@@ -205,10 +213,11 @@ def agg_map_isco(spark, d):
     return w.join(table(spark, d, "occupation_reference").select("isco_code"), "isco_code", "left_semi")
 
 
-@q()
+@q("select " + ", ".join(f"quantile_cont(similarity, {1 - p / 100}) as pct_{p}" for p in (5, 10, 20)) + f" from {_GOOD_PAIRS} where ('0x' || substring(md5(ai_app_id || onet_task_id::varchar), 1, 2))::int < 128")
 def agg_sampled_percentiles(spark, d):
-    """Thresholds from a seeded sample; not the exact ones."""
-    return _pairs(spark, d).sample(0.5, seed=42).agg(*[F.percentile("similarity", 1 - p / 100).alias(f"pct_{p}") for p in (5, 10, 20)])
+    """Thresholds from the pairs whose hash falls into one half."""
+    half = F.conv(F.substring(F.md5(F.concat("ai_app_id", F.col("onet_task_id").cast("string")).cast("binary")), 1, 2), 16, 10).cast("int") < 128
+    return _pairs(spark, d).filter(half).agg(*[F.percentile("similarity", 1 - p / 100).alias(f"pct_{p}") for p in (5, 10, 20)])
 
 
 @q(f"select substring(isco_code, 1, 2) as isco2, round(avg(exposure_score) + 1e-9, 6) as mean from {_GOOD} where regexp_matches(isco_code, '^[0-9]{{4}}$') group by 1")
@@ -227,12 +236,11 @@ def agg_expertise_summary(spark, d):
     return _panel(spark, d).select(dv.alias("dv")).agg(F.count("dv").alias("n"), F.round(F.avg("dv"), 6).alias("mean"), F.round(F.stddev_samp("dv"), 6).alias("sd"), F.count_if(F.col("dv") > 0).alias("n_gain"), F.count_if(F.col("dv") < 0).alias("n_loss"))
 
 
-@q("with g as (select company_id, mode(isco_code order by isco_code) m from (select * from stage6_jobs_linked__jobads_isco_variant order by isco_code) where isco_code is not null group by 1) select count(*) as n from g")
+@q("with g as (select company_id, isco_code, row_number() over (partition by company_id order by count(*) desc, isco_code desc) as r from stage6_jobs_linked__jobads_isco_variant where isco_code is not null group by 1, 2) select company_id, isco_code as code from g where r = 1")
 def agg_custom_cluster(spark, d):
-    """How many firms have a most frequent code."""
+    """The most frequent code of each firm; of equally frequent ones the last."""
     n = table(spark, d, JOBS).filter("isco_code is not null").groupBy("company_id", "isco_code").agg(F.count("*").alias("n"))
-    best = n.groupBy("company_id").agg(F.max_by("isco_code", F.struct("n", "isco_code")).alias("code"))
-    return best.agg(F.count("*").alias("n"))
+    return n.groupBy("company_id").agg(F.max_by("isco_code", F.struct("n", "isco_code")).alias("code"))
 
 
 @q("with s as (select distinct uid, coalesce(step3_output, 'N/A') = 'N/A' a from step3_output), t as (select distinct uid, coalesce(step2_output, 'N/A') = 'N/A' b from step2_output) select case when a and b then 1.0 when a or b then 0.0 else 0.5 end::double as score, count(*) as n from s join t using (uid) group by 1")
@@ -252,9 +260,10 @@ def sort_rank_pair_expertise(spark, d):
     return side(F.desc("dv"), "gain").unionByName(side(F.col("dv"), "loss"))
 
 
-@q()
+@q("select company_id from (select distinct company_id from job_postings_unified where company_id is not null) order by md5(company_id::varchar || 'firms'), company_id limit 30")
 def sample_companies(spark, d):
-    return table(spark, d, "job_postings_unified").filter("company_id is not null").select("company_id").distinct().orderBy(F.rand(7)).limit(30)
+    """Thirty firms, the same in every run and under any partitioning."""
+    return sampling.entities(table(spark, d, "job_postings_unified").select("company_id"), "company_id", 30, "firms").distinct()
 
 
 @q()
@@ -355,8 +364,10 @@ def udf_llm_score(spark, d):
     return models.scored(tasks, "a", "b", models.OverlapScorer()).select(F.col("a").alias("onet_task"), (1 + F.floor(F.col("score") * 9)).cast("int").alias("rating"))
 
 
-@q("select count(*) as n from events")
+@q("select event_type, count(*) as n, sum(value) as total from events group by 1")
 def stream_micro_append(spark, d):
-    return batches.deduplicated(spark, f"{d}/events.parquet").agg(F.count("*").alias("n"))
+    """Events appended in two micro-batches; the second finds the state of the
+    first, so the totals are those of one run over all of them."""
+    return batches.appended(spark, f"{d}/events.parquet", _place(spark))
 
 

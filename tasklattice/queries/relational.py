@@ -155,9 +155,10 @@ def join_inner_keys(spark, d):
     return table(spark, d, JOBS).join(table(spark, d, "customer").withColumnRenamed("c_custkey", "link_id"), "link_id").select("link_id", "company_id", "year", "c_name")
 
 
-@q("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@q("select distinct company_id from job_postings_unified j where company_id is not null and not exists (select 1 from step1_output s where s.company_id = j.company_id)")
 def join_anti_left(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Firms of the ads that no linked row has."""
+    return _ads(spark, d).filter("company_id is not null").select("company_id").distinct().join(table(spark, d, "step1_output").select("company_id"), "company_id", "left_anti")
 
 
 @q("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_shipdate < timestamp '1996-01-01')")
@@ -196,9 +197,12 @@ def join_composite_left(spark, d):
     return table(spark, d, "step1_output").select("uid").distinct().join(table(spark, d, "step2_output").select("uid", "step2_output").distinct(), "uid", "left")
 
 
-@q("select company_name, count(distinct company_id) as n_ids from job_postings_unified where company_name is not null group by 1 having count(distinct company_id) > 1")
+@q("with n as (select distinct company_name, company_id from job_postings_unified where company_name is not null and company_id is not null), k as (select company_name, count(*) as n_ids from n group by 1) select s.link_id, n.company_id as found_id, coalesce(k.n_ids, 0) as n_ids from stage6_jobs_linked__jobads_isco_variant s left join n on s.company_name = n.company_name left join k on s.company_name = k.company_name")
 def join_name_to_id(spark, d):
-    return _ads(spark, d).filter("company_name is not null").groupBy("company_name").agg(F.countDistinct("company_id").alias("n_ids")).filter("n_ids > 1")
+    """Ids by name; a name with several ids gives a row for each."""
+    names = _ads(spark, d).filter("company_name is not null and company_id is not null").select("company_name", F.col("company_id").alias("found_id")).distinct()
+    sizes = names.groupBy("company_name").agg(F.count("*").alias("n_ids"))
+    return table(spark, d, JOBS).select("link_id", "company_name").join(names, "company_name", "left").join(sizes, "company_name", "left").select("link_id", "found_id", F.coalesce("n_ids", F.lit(0)).alias("n_ids"))
 
 
 @q("select n_name, y::int as year from nation, (select distinct year(o_orderdate) y from orders)")
@@ -374,9 +378,10 @@ def quality_app_alignment(spark, d):
     return table(spark, d, "similarity_df").filter(F.col("ai_app_id") != T.app_id(F.col("app_text"))).select("ai_app_id", "app_text")
 
 
-@q("select onet_task_id, count(distinct onet_task) as n_texts from similarity_df group by 1 having count(distinct onet_task) > 1")
+@q("select onet_task_id, count(distinct onet_task) as n_texts, count(distinct trim(onet_task)) = 1 as aligned from similarity_df group by 1")
 def quality_task_alignment(spark, d):
-    return table(spark, d, "similarity_df").groupBy("onet_task_id").agg(F.countDistinct("onet_task").alias("n_texts")).filter("n_texts > 1")
+    """Whether each task id stands for one text, blanks at the ends aside."""
+    return table(spark, d, "similarity_df").groupBy("onet_task_id").agg(F.countDistinct("onet_task").alias("n_texts"), (F.countDistinct(F.trim("onet_task")) == 1).alias("aligned"))
 
 
 @q("select company_id, year, title, count(*) as n from stage6_jobs_linked__jobads_isco_variant group by 1, 2, 3 having count(*) > 1")

@@ -362,9 +362,11 @@ def null_zero_fill_firm(spark, d):
     return j.join(f, "company_id", "left").join(e, "company_id", "left").select("company_id", F.when(F.col("m").isNotNull(), F.col("m")).when(F.col("seen"), 0).alias("n"), flag.alias("flag"))
 
 
-@q("select distinct uid from step3_output where uid not in (select uid from step2_output)")
+@q("select distinct code from (select unnest(regexp_extract_all(x28_occupations, '[0-9]+')) as code from job_postings_unified) where code not in (select trim(x28_code) from x28_isco_crosswalk where x28_code is not null)")
 def quality_accidental(spark, d):
-    return table(spark, d, "step3_output").join(table(spark, d, "step2_output").select("uid"), "uid", "left_anti").select("uid").distinct()
+    """Codes of the ads that the crosswalk doesn't know."""
+    codes = table(spark, d, "job_postings_unified").select(F.explode(F.regexp_extract_all("x28_occupations", F.lit("([0-9]+)"))).alias("code")).distinct()
+    return codes.join(table(spark, d, "x28_isco_crosswalk").select(F.trim("x28_code").alias("code")), "code", "left_anti")
 
 
 @q("with r as (select onet_task_id, ai_app_id, percent_rank() over (partition by onet_task_id order by similarity desc) p from (select distinct onet_task_id, ai_app_id, similarity from similarity_df where similarity is not null and not isnan(similarity))) select onet_task_id, ai_app_id, p <= 0.05 as pct_5, p <= 0.1 as pct_10, p <= 0.2 as pct_20 from r")
@@ -374,16 +376,18 @@ def quality_per_task_flags(spark, d):
     return r.select("onet_task_id", "ai_app_id", *[(F.col("p") <= x / 100).alias(f"pct_{x}") for x in (5, 10, 20)])
 
 
-@q()
+@q("with v as (select kind, trim(text) as text, min_by(vec::double[], vec_id) as vec from text_vectors where vec is not null group by 1, 2), p as (select distinct trim(app_text) as app, trim(onet_task) as task, similarity from similarity_df where similarity is not null and not isnan(similarity)) select task, count(*) as n_compared, count_if(abs(list_cosine_similarity(a.vec, t.vec) - similarity) > 0.001) as n_off from p join v a on a.kind = 'app' and a.text = app join v t on t.kind = 'task' and t.text = task group by 1")
 def quality_sim_recompute(spark, d):
-    """Stored scores that differ from the vectors' cosine by more than 0.001."""
+    """For each task the stored scores compared with the vectors' cosine, and how
+    many differ by more than 0.001."""
     from tasklattice.functions.vectors import cosine
 
-    v = table(spark, d, "text_vectors").filter("vec is not null").withColumn("text", F.trim("text")).dropDuplicates(["kind", "text"])
+    v = table(spark, d, "text_vectors").filter("vec is not null").groupBy("kind", F.trim("text").alias("text")).agg(F.min_by("vec", "vec_id").alias("vec"))
     a = v.filter("kind = 'app'").select(F.col("text").alias("app"), F.col("vec").alias("va"))
     t = v.filter("kind = 'task'").select(F.col("text").alias("task"), F.col("vec").alias("vt"))
     s = _pairs(spark, d).select(F.trim("app_text").alias("app"), F.trim("onet_task").alias("task"), "similarity").distinct()
-    return s.join(a, "app").join(t, "task").withColumn("cosine", cosine(F.col("va"), F.col("vt"))).filter(F.abs(F.col("cosine") - F.col("similarity")) > 1e-3).select("app", "task", "similarity", "cosine")
+    off = F.abs(cosine(F.col("va"), F.col("vt")) - F.col("similarity")) > 1e-3
+    return s.join(a, "app").join(t, "task").groupBy("task").agg(F.count("*").alias("n_compared"), F.count_if(off).alias("n_off"))
 
 
 @q("select count(*) as n, count_if(company_id is null) as n_no_firm, count_if(isco_code is null) as n_no_code, count(*) - count(distinct link_id) as n_repeated from stage6_jobs_linked__jobads_isco_variant")
@@ -487,10 +491,8 @@ def udf_llm_split(spark, d):
 
 @q()
 def udf_llm_ensemble(spark, d):
-    """Statements that most of several runs agree on."""
-    r = models.completed(table(spark, d, "step1_output").select("uid", "content_clean").distinct(), "content_clean", models.EchoModel())
-    one = S.exploded(r.select("uid", "response"), "uid", "response").select("uid", "item").distinct()
-    runs = one.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(3))))
-    return runs.groupBy("uid", "item").agg(F.count("*").alias("votes")).filter("votes >= 2")
+    """Statements that at least three of five runs agree on; each run asks the
+    model with its own seed."""
+    return models.ensemble(table(spark, d, "step1_output").select("uid", "content_clean").distinct(), "content_clean", models.SeededModel, runs=5, least=3)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tasklattice.functions import keywords as K
 from tasklattice.functions import structured as S
 from tasklattice.functions import text as T
 from tasklattice.operators import dedup, sampling
@@ -14,36 +15,25 @@ q = Register()
 QUERIES, SQL = q.queries, q.sql
 
 TERMS = ["ki", "ai", "bild", "neural networks", "künstlicher intelligenz", "modelle", "sql", "e.g."]
-_NORM = "trim(regexp_replace(regexp_replace(lower(strip_accents(content_clean)), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-_ADS = "(select distinct uid, title, company_name, content_clean from job_postings_unified where content_clean is not null)"
+_SPACE = T.SPACE.replace("'", "''")
+_UNLIGATED = "text_"
+for _k, _v in T.LETTERS.items():
+    _UNLIGATED = f"replace({_UNLIGATED}, '{_k}', '{_v}')"
+_ADS = "(select distinct uid, content_clean as text_ from job_postings_unified where content_clean is not null)"
 
 
 def _ads(spark, d):
-    return table(spark, d, "job_postings_unified").filter("content_clean is not null").select("uid", "title", "company_name", "content_clean").distinct()
+    return table(spark, d, "job_postings_unified").filter("content_clean is not null")
 
 
-@q("select doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')) as t from documents where lang in ('fr', 'it', 'en') and source = 'task_statements' and not regexp_matches(text, '[^\\x00-\\xFF]')")
+@q(f"select doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '{_SPACE}+', ' ', 'g')) as t from documents")
 def text_normalize_ascii(spark, d):
-    rows = table(spark, d, "documents").filter(F.col("lang").isin("fr", "it", "en") & (F.col("source") == "task_statements") & ~F.col("text").rlike(r"[^\x00-\xFF]"))
-    return rows.select("doc_id", T.normalize_ascii(F.col("text")).alias("t"))
+    return table(spark, d, "documents").select("doc_id", T.normalize_ascii(F.col("text")).alias("t"))
 
 
-@q()
-def text_normalize_ascii_all(spark, d):
-    """All documents, of any language, source and script."""
-    return table(spark, d, "documents").select("doc_id", T.each(T.ascii_of, F.col("text")).alias("t"))
-
-
-@q(f"select uid, md5({_NORM}) as h from {_ADS} where not regexp_matches(content_clean, '[^\\x00-\\xFF]')")
+@q(f"select uid, md5(trim(regexp_replace(regexp_replace(lower(strip_accents({_UNLIGATED})), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '{_SPACE}+', ' ', 'g'))) as h from {_ADS}")
 def text_normalize_db(spark, d):
-    rows = _ads(spark, d).filter(~F.col("content_clean").rlike(r"[^\x00-\xFF]"))
-    return rows.select("uid", F.md5(T.normalize_db(F.col("content_clean")).cast("binary")).alias("h"))
-
-
-@q()
-def text_normalize_db_all(spark, d):
-    """All ads that have a text, of any script."""
-    return _ads(spark, d).select("uid", F.md5(T.each(T.unaccented_of, F.col("content_clean")).cast("binary")).alias("h"))
+    return _ads(spark, d).select("uid", F.md5(T.normalize_db(F.col("content_clean")).cast("binary")).alias("h")).distinct()
 
 
 @q("select distinct title, coalesce(trim(regexp_replace(regexp_replace(lower(title), '[“”„«»‘’'']', '\"', 'g'), '\\s+', ' ', 'g')), '') as canonical from job_postings_unified")
@@ -61,14 +51,8 @@ def text_strip_accents(spark, d):
     return table(spark, d, "job_postings_unified").select("company_name", T.strip_accents(F.col("company_name")).alias("plain")).distinct()
 
 
-@q("select doc_id, trim(regexp_replace(lower(replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')), '\\s+', ' ', 'g')) as t from documents where contains(text, '<') and not regexp_matches(text, '[^\\x00-\\x7F]')")
-def text_html_clean(spark, d):
-    rows = table(spark, d, "documents").filter(F.col("text").contains("<") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", T.html_clean(F.col("text")).alias("t"))
-
-
 @q()
-def text_html_clean_all(spark, d):
+def text_html_clean(spark, d):
     """All documents, with or without tags and entities."""
     return table(spark, d, "documents").select("doc_id", T.each(T.html_text_of, F.col("text")).alias("t"))
 
@@ -79,35 +63,41 @@ def _any(terms, column):
     return f"regexp_matches({column}, '" + "|".join(f"(?:{p})" for p in parts) + "')"
 
 
-@q(f"select uid from {_ADS} where {_any(TERMS, 'lower(content_clean)')}")
+# The texts stay where they are read: one pass finds all terms, and only uids and
+# what was found are shuffled, as an ad may be delivered again.
+_LOWER = "lower(text_)"
+
+
+@q(f"select distinct uid from {_ADS} where {_any(TERMS, _LOWER)}")
 def filter_keyword_or(spark, d):
-    return _ads(spark, d).filter(T.any_keyword(F.lower("content_clean"), TERMS)).select("uid")
+    return _ads(spark, d).filter(K.any_of(F.col("content_clean"), TERMS)).select("uid").distinct()
 
 
 @q(f"select distinct uid from job_postings_unified where tst_created >= timestamptz '2018-01-01 00:00:00+00' and tst_created < timestamptz '2018-07-01 00:00:00+00' and {_any(TERMS, 'lower(content_clean)')}")
 def filter_keyword_batch(spark, d):
     t = F.col("tst_created")
     rows = table(spark, d, "job_postings_unified").filter((t >= F.lit("2018-01-01").cast("timestamp")) & (t < F.lit("2018-07-01").cast("timestamp")))
-    return rows.filter(T.any_keyword(F.lower("content_clean"), TERMS)).select("uid").distinct()
+    return rows.filter(K.any_of(F.col("content_clean"), TERMS)).select("uid").distinct()
 
 
-_HITS = "list_filter([" + ", ".join(f"case when regexp_matches(lower(content_clean), '{T.word_pattern(t)}') then '{t}' end" for t in TERMS) + "], lambda x: x is not null)"
+_HITS = "list_filter([" + ", ".join(f"case when regexp_matches(lower(text_), '{T.word_pattern(t)}') then '{t}' end" for t in TERMS) + "], lambda x: x is not null)"
 
 
-@q(f"select uid, array_to_string(list_sort({_HITS}), ', ') as matched from {_ADS}")
+@q(f"select distinct uid, array_to_string(list_sort({_HITS}), ', ') as matched from {_ADS}")
 def text_match_keywords(spark, d):
-    return _ads(spark, d).select("uid", T.matched_keywords(F.lower("content_clean"), TERMS).alias("matched"))
+    return _ads(spark, d).select("uid", K.matched(F.col("content_clean"), TERMS).alias("matched")).distinct()
 
 
-@q(f"select uid from {_ADS} where len({_HITS}) > 0")
+@q(f"select distinct uid from {_ADS} where len({_HITS}) > 0")
 def filter_verified(spark, d):
-    return _ads(spark, d).filter(T.matched_keywords(F.lower("content_clean"), TERMS) != "").select("uid")
+    """What the loose patterns retrieve, verified by the matcher."""
+    return _ads(spark, d).filter(K.matched(F.col("content_clean"), TERMS) != "").select("uid").distinct()
 
 
-@q(f"select uid from {_ADS} where regexp_matches(lower(title), '{T.spaced_letters('hr')}|{T.spaced_letters('sw')}|{T.word_pattern('sw')}')")
+@q(f"select distinct uid from job_postings_unified where regexp_matches(lower(title), '{T.spaced_letters('hr')}|{T.spaced_letters('sw')}|{T.word_pattern('sw')}')")
 def text_punct_regex(spark, d):
     p = "|".join((T.spaced_letters("hr"), T.spaced_letters("sw"), T.word_pattern("sw")))
-    return _ads(spark, d).filter(F.lower("title").rlike(p)).select("uid")
+    return table(spark, d, "job_postings_unified").filter(F.lower("title").rlike(p)).select("uid").distinct()
 
 
 _SCORE = {k: " + ".join(f"contains(' ' || lower(text) || ' ', ' {w} ')::int" for w in ws) for k, ws in T.STOP_WORDS.items()}
@@ -118,16 +108,9 @@ def text_lang_stopwords(spark, d):
     return table(spark, d, "documents").select("doc_id", T.language_by_stop_words(F.col("text")).alias("language"))
 
 
-@q("select doc_id, md5(coalesce(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '')) as h from documents where text is null or not regexp_matches(text, '[^\\x00-\\xFF]')")
+@q(f"select doc_id, md5(coalesce(trim(regexp_replace(lower(text), '{_SPACE}+', ' ', 'g')), '')) as h from documents")
 def hash_md5_content(spark, d):
-    rows = table(spark, d, "documents").filter(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x00-\xFF]"))
-    return rows.select("doc_id", T.md5_content(F.col("text")).alias("h"))
-
-
-@q()
-def hash_md5_content_all(spark, d):
-    """All documents, of any script."""
-    return table(spark, d, "documents").select("doc_id", T.each(T.md5_of, F.col("text")).alias("h"))
+    return table(spark, d, "documents").select("doc_id", T.md5_content(F.col("text")).alias("h"))
 
 
 @q("select distinct app_text, upper(md5(app_text)) as app_id from similarity_df")

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tasklattice.functions import keywords as K
 from tasklattice.functions import structured as S
 from tasklattice.functions import text as T
 from tasklattice.operators import dedup, estimators, panel, relational, sampling, similarity
@@ -62,9 +64,20 @@ def test_items():
 
 
 def test_keywords(spark):
-    df = spark.createDataFrame([("ki und ai.",), ("maison kai",), ("neural-networks",), (None,)], "t string")
-    got = [(r.m, r.hit) for r in df.select(T.matched_keywords(F.col("t"), ["ki", "ai", "neural networks"]).alias("m"), T.any_keyword(F.col("t"), ["ki", "ai", "neural networks"]).alias("hit")).collect()]
-    assert got == [("ai, ki", True), ("", False), ("", True), ("", None)]
+    terms = ["ki", "ai", "neural networks", "e.g.", "modelle"]
+    df = spark.createDataFrame([("KI und ai.",), ("maison kai",), ("neural-networks",), (None,), ("",), ("Sprachmodelle, e.g. neural networks",)], "t string")
+    got = [(r.m, r.hit) for r in df.select(K.matched(F.col("t"), terms).alias("m"), K.any_of(F.col("t"), terms).alias("hit")).collect()]
+    assert got == [("ai, ki", True), ("", False), ("", True), ("", False), ("", False), ("e.g., neural networks", True)]
+
+
+@given(st.text("akimo e.g-_", max_size=30), st.lists(st.sampled_from(["ai", "ki", "e.g", "mo", "ai mo", "kimoak", "a"]), max_size=5))
+@settings(max_examples=150, deadline=None)
+def test_one_pass_equals_one_pattern_a_term(text, terms):
+    k = K.Keywords(tuple(terms))
+    edged = lambda t: re.search(T.word_pattern(t), text)
+    assert k.words(text) == sorted({t for t in terms if edged(t)})
+    kinds = T.pattern_classes(terms)
+    assert k.any(text) == (any(edged(t) for t in kinds["dotted"] + kinds["short"]) or any(t in text for t in kinds["long"]) or any(re.search(T.flexible_phrase(t), text) for t in kinds["phrase"]))
 
 
 def test_codes(spark):
@@ -81,11 +94,11 @@ def test_whole_tables_are_normalised(spark, tmp_path):
     spark.createDataFrame([(u, "t", "f", t, x) for u, t, x in ads], "uid string, title string, company_name string, content_clean string, x28_occupations string").write.parquet(f"{tmp_path}/job_postings_unified.parquet")
     got = lambda q, n: {r[0]: r[1] for r in q[n](spark, str(tmp_path)).collect()}
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
-    assert got(texts.QUERIES, "text_normalize_ascii_all") == {1: "groe odz unix!", 2: None, 3: "&lt;b&gt;caf&eacute;&lt;/b&gt; <p>n &amp; k</p>", 4: ",", 5: "strae i"}
-    assert got(texts.QUERIES, "text_html_clean_all") == {1: "größe łódź – ünï x!", 2: "", 3: "café fin & ok", 4: "привет, мир", 5: "straße i̇"}
-    assert got(texts.QUERIES, "hash_md5_content_all") == {k: md5(" ".join((t or "").lower().split())) for k, t in docs.items()}
-    assert got(texts.QUERIES, "text_normalize_db_all") == {"a": md5("oeuvre no 1 ss"), "b": md5("привет мир"), "d": md5("e"), "e": md5("e")}
-    assert got(exchange.QUERIES, "cast_text_array_all") == {"a": ["x1", "y2"], "b": None, "c": None, "d": None, "e": ["7"]}
+    assert got(texts.QUERIES, "text_normalize_ascii") == {1: "groe odz unix!", 2: None, 3: "&lt;b&gt;caf&eacute;&lt;/b&gt; <p>n &amp; k</p>", 4: ",", 5: "strae i"}
+    assert got(texts.QUERIES, "text_html_clean") == {1: "größe łódź – ünï x!", 2: "", 3: "café fin & ok", 4: "привет, мир", 5: "straße i̇"}
+    assert got(texts.QUERIES, "hash_md5_content") == {k: md5(" ".join((t or "").lower().split())) for k, t in docs.items()}
+    assert got(texts.QUERIES, "text_normalize_db") == {"a": md5("oeuvre no 1 ss"), "b": md5("привет мир"), "d": md5("e"), "e": md5("e")}
+    assert got(exchange.QUERIES, "cast_text_array") == {"a": ["x1", "y2"], "b": None, "c": None, "d": None, "e": ["7"]}
 
 
 def test_near_copies(spark):
@@ -150,3 +163,21 @@ def test_sampling_takes_whole_entities(spark):
     got = sampling.whole_entities(df, "k", 50, "s").collect()
     assert sum(r.n_rows for r in got) >= 50 and all(r.n_rows == 1 + r.k % 12 for r in got)
     assert {r.k for r in got} == {r.k for r in sampling.whole_entities(df.repartition(3), "k", 50, "s").collect()}
+
+
+def test_groups_are_joined_back_however_many_are_hot(spark):
+    from tasklattice.plans.skew import join_groups_back
+
+    rows = spark.createDataFrame([(i % 7, i) for i in range(70)] + [(99, 1)], "k int, v int")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
+    for most in (2, 100):
+        assert join_groups_back(rows, groups, ["k"], "n", heavy=5, most=most).count() == 71
+
+
+def test_model_runs_differ_and_vote(spark):
+    from tasklattice.functions import models
+
+    df = spark.createDataFrame([(1, "Ein Modell a. Ein Modell b. Kein Wort."), (2, None)], "uid int, t string")
+    got = {(r.uid, r.item): r.votes for r in models.ensemble(df, "t", models.SeededModel, least=1).collect()}
+    want = {s: sum(s in __import__("json").loads(models.SeededModel(k)(["Ein Modell a. Ein Modell b."])[0]) for k in range(5)) for s in ("Ein Modell a.", "Ein Modell b.")}
+    assert got == {(1, s): n for s, n in want.items() if n} and len({models.SeededModel(k)(["Ein Modell a. Ein Modell b."])[0] for k in range(5)}) > 1
