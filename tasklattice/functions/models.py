@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +74,35 @@ def ensemble(rows: DataFrame, column: str, model, runs: int = 5, least: int = 3,
     return answers.groupBy(key, "item").agg(F.count("*").alias("votes")).filter(F.col("votes") >= least)
 
 
+def semantic_majority(rows: DataFrame, column: str, model, embedder, runs: int = 5, least: int = 3, alike: float = 0.75, key: str = "uid") -> DataFrame:
+    """(key, item, members): statements of all runs are grouped, each with those
+    whose cosine reaches ``alike`` and that begin no group before it; a later group
+    may take a member again. Groups of at least ``least`` give their most frequent
+    statement, of equally frequent ones the first. One ad's statements are one
+    group of rows, which the runs bound."""
+    from tasklattice.functions.structured import exploded
+
+    answers = None
+    for seed in range(runs):
+        one = exploded(completed(rows, column, model(seed), key).select(key, "response"), key, "response").withColumn("run", F.lit(seed))
+        answers = one if answers is None else answers.unionByName(one)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def vote(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        said = pdf.sort_values(["run", "position"])["item"].tolist()
+        v = np.asarray(embedder(said))
+        near = v @ v.T >= alike - 1e-12
+        seen, out = set(), []
+        for i in range(len(said)):
+            if i not in seen and (group := np.flatnonzero(near[i])).size:
+                seen |= set(group.tolist())
+                if len(group) >= least:
+                    out.append((k[0], Counter(said[j] for j in group).most_common(1)[0][0], len(group)))
+        return pd.DataFrame(out, columns=[key, "item", "members"])
+
+    return answers.groupBy(key).applyInPandas(vote, f"{key} {kind}, item string, members int")
+
+
 def embedded(rows: DataFrame, column: str, model) -> DataFrame:
     schema = rows.schema.simpleString()[7:-1].replace(":", " ")
 

@@ -64,6 +64,18 @@ def repaired(text: str | None) -> str | None:
     return body
 
 
+def truncated(text: str) -> str:
+    """``text`` without commas before closing brackets and, if its braces stay
+    open, cut after the last object that is complete at the top level."""
+    t = re.sub(r",(?=\s*[\]}])", "", text)
+    depth = end = 0
+    for m in re.finditer("[{}]", t):
+        depth += 1 if m.group() == "{" else -1
+        if depth == 0:
+            end = m.end()
+    return t[:end] if depth > 0 and end else t
+
+
 def items(text: str | None) -> list[str]:
     """The statements of a list, object or lines, decoded twice if a string holds
     another notation."""

@@ -5,20 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklattice.operators.relational import available_by_year
 
+def _steps(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """How many come in each year, as one short list for each of ``keys``."""
+    n = rows.groupBy(*keys, "first_year").agg(F.count("*").alias("n"))
+    return n.groupBy(*keys).agg(F.collect_list(F.struct("first_year", "n")).alias(name))
 
-def firm_task_share(matches: DataFrame, years: DataFrame) -> DataFrame:
+
+def _up_to(steps: str, year: Column) -> Column:
+    return F.aggregate(steps, F.lit(0).cast("bigint"), lambda total, x: total + F.when(x["first_year"] <= year, x["n"]).otherwise(0))
+
+
+def firm_task_share(matches: DataFrame, years: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """``matches`` has firm, app, task and year: (firm, year, task, n_apps,
     n_matched, share). An app counts for its firm from the first year it is seen
-    in; the share is of the apps seen so far. Only tasks with a match have rows."""
+    in; the share is of the apps seen so far. Only tasks with a match have rows.
+    ``years`` holds the years, or those of each firm. An app matches the tasks it
+    has at its firm, or those of ``pairs`` (app, task), whatever the firm.
+
+    Counts by first year are added up over the years of each firm and task, so no
+    app is repeated for its years, however many a firm has.
+    """
     first = matches.groupBy("firm", "app").agg(F.min("year").alias("first_year"))
-    spans = years.join(matches.select("firm").distinct(), "firm") if "firm" in years.columns else years.crossJoin(matches.select("firm").distinct())
-    available = available_by_year(first, spans, "firm")
-    n_apps = available.groupBy("firm", "year").agg(F.count("*").alias("n_apps"))
-    pairs = matches.select("firm", "app", "task").distinct()
-    matched = available.join(pairs, ["firm", "app"]).groupBy("firm", "year", "task").agg(F.count("*").alias("n_matched"))
-    return matched.join(n_apps, ["firm", "year"]).withColumn("share", F.col("n_matched") / F.col("n_apps"))
+    own = first.join(pairs, "app") if pairs is not None else first.join(matches.select("firm", "app", "task").distinct(), ["firm", "app"])
+    by_firm = _steps(first, ["firm"], "apps")
+    all_years = F.collect_set("year").alias("years")
+    by_firm = by_firm.join(years.groupBy("firm").agg(all_years), "firm") if "firm" in years.columns else by_firm.crossJoin(F.broadcast(years.agg(all_years)))
+    spread = _steps(own, ["firm", "task"], "matched").join(by_firm, "firm").select("firm", "task", "apps", "matched", F.explode("years").alias("year"))
+    counted = spread.select("firm", "year", "task", _up_to("apps", F.col("year")).alias("n_apps"), _up_to("matched", F.col("year")).alias("n_matched"))
+    return counted.filter(F.col("n_matched") > 0).withColumn("share", F.col("n_matched") / F.col("n_apps"))
 
 
 def occupation_exposure(shares: DataFrame, weights: DataFrame) -> DataFrame:

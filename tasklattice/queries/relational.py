@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tasklattice.functions import text as T
 from tasklattice.operators import relational
+from tasklattice.plans.skew import join_groups_back
 from tasklattice.queries.registry import Register
 from tasklattice.sources.tables import table
 
@@ -281,13 +282,13 @@ def join_sim_topk(spark, d):
     return best_for_each(v.filter("kind = 'task'"), v.filter("kind = 'app'"), 10).select(F.col("query").alias("task_id"), F.col("item").alias("app_id"), "rank")
 
 
-@q("select distinct uid, row_number() over (partition by md5(trim(regexp_replace(lower(content_clean), '\\s+', ' ', 'g'))) order by tst_created, uid) = 1 as kept from (select distinct uid, content_clean, tst_created from job_postings_unified where content_clean is not null)")
+@q(f"select distinct uid, row_number() over (partition by md5(trim(regexp_replace(lower(content_clean), '{T.SPACE}+', ' ', 'g'))) order by tst_created, uid) = 1 as kept from (select distinct uid, content_clean, tst_created from job_postings_unified where content_clean is not null)")
 def dedup_exact_hash(spark, d):
-    from pyspark.sql import Window
-
-    rows = _ads(spark, d).filter("content_clean is not null").select("uid", "content_clean", "tst_created").distinct()
-    w = Window.partitionBy(T.md5_content(F.col("content_clean"))).orderBy("tst_created", "uid")
-    return rows.select("uid", (F.row_number().over(w) == 1).alias("kept"))
+    """The first ad of each text is kept. Texts are hashed where they are read; a
+    text that many ads have is counted before it is joined back to them."""
+    rows = _ads(spark, d).filter("content_clean is not null").select("uid", "tst_created", T.md5_content(F.col("content_clean")).alias("h")).distinct()
+    first = rows.groupBy("h").agg(F.min(F.struct("tst_created", "uid")).getField("uid").alias("first_uid"), F.count("*").alias("n"))
+    return join_groups_back(rows, first, ["h"], "n").select("uid", (F.col("uid") == F.col("first_uid")).alias("kept"))
 
 
 @q("select company_id, title, min(uid) as uid from (select distinct uid, company_id, title, content_clean, first_value(uid) over (partition by company_id, title, content_clean order by tst_created, uid) f from job_postings_unified) where uid = f group by 1, 2")

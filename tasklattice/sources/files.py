@@ -59,6 +59,11 @@ def adapted(spark: SparkSession, read, *args, **kwargs) -> DataFrame:
     return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None)) if len(pdf) else spark.createDataFrame([], T.StructType([T.StructField(str(c), T.StringType()) for c in pdf.columns]))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def latest(spark: SparkSession, folder: str, pattern: str) -> str:
     """The newest file of ``folder`` that matches; an error lists what is there."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")

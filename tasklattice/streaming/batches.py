@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasklattice.plans.lineage import shared_dir
+from tasklattice.sources.files import exists
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -36,6 +37,18 @@ def appended(spark: SparkSession, path: str, place: str) -> DataFrame:
     return result
 
 
+def resumed(rows: DataFrame, key: str, chunks: list, step, place: str, stop_after: int | None = None) -> DataFrame:
+    """``step`` of each chunk of ``rows``, written under its number in ``place``.
+    A chunk whose folder holds the mark of a finished write is not done again, so
+    a run that was stopped goes on where it stopped."""
+    spark = rows.sparkSession
+    for k in chunks[:stop_after]:
+        at = f"{place}/done={k}"
+        if not exists(spark, f"{at}/_SUCCESS"):
+            step(rows.filter(F.col(key) == k)).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(place).drop("done")
+
+
 def _run(spark: SparkSession, df: DataFrame, mode: str, place: str | None = None) -> str:
     place = place or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
