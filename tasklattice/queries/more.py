@@ -188,9 +188,7 @@ def join_aux_panel(spark, d):
 def join_sim_exhaustive(spark, d):
     """Pairs in the best hundredth of all pairs, counted."""
     v = table(spark, d, "text_vectors")
-    c = cut(similarity.all_cosines(v.filter("kind = 'app'"), v.filter("kind = 'task'")))
-    t = c.agg(F.percentile("cosine", 0.99).alias("t"))
-    return c.crossJoin(F.broadcast(t)).filter(F.col("cosine") >= F.col("t")).agg(F.count("*").alias("n"))
+    return similarity.reaching_percentile(v.filter("kind = 'app'"), v.filter("kind = 'task'"), 0.99)
 
 
 @q("select o_orderkey, case o_orderpriority when '1-URGENT' then 1 when '2-HIGH' then 2 end as level from orders")

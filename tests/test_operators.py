@@ -139,6 +139,35 @@ def test_similarity_equals_brute_force(spark):
     assert got == {(i, k + 1): int(j) for i in range(70) for k, j in enumerate(np.argsort(-c[i], kind="stable")[:3])}
 
 
+def _vectors(spark, a, b, path):
+    rows = [(k + 1, kind, v) for k, (kind, v) in enumerate([("app", v.tolist()) for v in a] + [("task", v.tolist()) for v in b] + [("app", None), ("task", [0.0] * a.shape[1])])]
+    spark.createDataFrame(rows, "vec_id bigint, kind string, vec array<float>").write.parquet(f"{path}/text_vectors.parquet")
+
+
+def test_best_hundredth_of_all_pairs_without_writing_them(spark, tmp_path):
+    """Vectors stand five times, so that cosines are tied where the percentile lies."""
+    from pathlib import Path
+
+    from tasklattice.plans.lineage import shared_dir
+    from tasklattice.queries import more
+
+    rng = np.random.default_rng(8)
+    a, b = (np.repeat(rng.normal(size=(n, 12)).astype(np.float32), 5, axis=0) for n in (140, 90))
+    _vectors(spark, a, b, tmp_path)
+    c = similarity.exact_cosines(a, np.repeat(np.arange(len(a)), len(b)), b, np.tile(np.arange(len(b)), len(a)))
+    assert np.allclose(c, ((a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T).ravel(), atol=1e-5)
+    place = Path(shared_dir(spark).removeprefix("file:"))
+    old = set(place.iterdir())
+    got = more.QUERIES["join_sim_exhaustive"](spark, str(tmp_path)).collect()
+    assert [r.n for r in got] == [int((c >= np.quantile(c, 0.99)).sum())]
+    assert sum(spark.read.parquet(str(p)).count() for p in set(place.iterdir()) - old) < len(c) / 100
+    v = spark.read.parquet(f"{tmp_path}/text_vectors.parquet")
+    for share in (0.0, 0.3, 1.0):  # in parts, and narrowed down by histograms
+        parts = similarity.reaching_percentile(v.filter("kind = 'app'"), v.filter("kind = 'task'"), share, sent=9000, most=2)
+        assert parts.first().n == int((c >= np.quantile(c, share)).sum())
+    assert similarity.reaching_percentile(v.filter("kind = 'none'"), v, 0.99).first().n == 0
+
+
 def test_ols_and_logit(spark):
     rng = np.random.default_rng(4)
     x, g = rng.normal(size=400), rng.integers(0, 20, 400)
