@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tasklattice.operators import similarity
+from tasklattice.plans.lineage import cut
+
 
 def spec_suffix(df: DataFrame, columns: list[str], pct: str, ce: str) -> DataFrame:
     """``pct_20`` and ``ce_0.8`` become ``_p20_ce08`` behind the columns."""
@@ -75,33 +82,121 @@ def ntile_edges(rows: DataFrame, value: str, n: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(e)).withColumn("bin", b).drop("_e")
 
 
-def greedy_clusters(rows: DataFrame, group: str, key: str, vec: str, threshold: float) -> DataFrame:
-    """(key, representative): in the order of the keys each vector joins the first
-    representative of its group with a cosine of ``threshold``, or becomes one.
-    Groups are read one at a time."""
-    import numpy as np
-    import pandas as pd
+def _near(a: np.ndarray, ua: np.ndarray, c: np.ndarray, uc: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with a cosine of ``threshold``, sorted."""
+    at = np.flatnonzero((ua @ uc.T).ravel() >= threshold - similarity.rounding(a.shape[1]))
+    i, j = np.divmod(at, len(c))
+    keep = similarity.exact_cosines(a, i, c, j) >= threshold
+    return i[keep], j[keep]
+
+
+def _first_near(a: np.ndarray, ua: np.ndarray, c: np.ndarray, uc: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``a`` that have a row of ``c`` near, and the first of these."""
+    rows, firsts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    step = max(1, similarity.TILE // max(1, len(c)))
+    for s in range(0, len(a) if len(c) else 0, step):
+        i, j = _near(a[s : s + step], ua[s : s + step], c, uc, threshold)
+        i, first = np.unique(i, return_index=True)
+        rows.append(i + s)
+        firsts.append(j[first])
+    return np.concatenate(rows), np.concatenate(firsts)
+
+
+def first_fit(x: np.ndarray, threshold: float, taken: np.ndarray, block: int = 1024) -> np.ndarray:
+    """For each row, in order, the first earlier representative that is near, or
+    itself, which makes it one; -1 for the rows ``taken``, which take no part."""
+    own = np.arange(len(x))
+    own[taken] = -1
+    u, heads = similarity.units(x), np.empty(0, np.int64)
+    for s in range(0, len(x), block):
+        new = s + np.flatnonzero(own[s : s + block] >= 0)
+        i, j = _first_near(x[new], u[new], x[heads], u[heads], threshold)
+        own[new[i]] = heads[j]
+        new = new[own[new] == new]
+        i, j = _near(x[new], u[new], x[new], u[new], threshold)
+        near = np.zeros((len(new), len(new)), dtype=bool)
+        near[i[j < i], j[j < i]] = True
+        open_ = np.ones(len(new), dtype=bool)
+        for k in np.flatnonzero(near.any(axis=1)):
+            hit = np.flatnonzero(near[k] & open_)
+            if len(hit):
+                own[new[k]], open_[k] = new[hit[0]], False
+        heads = np.append(heads, new[open_])
+    return own
 
-    kg = rows.schema[key].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = np.stack(pdf[vec].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        heads: list[int] = []
-        own = []
-        for i in range(len(x)):
-            c = x[heads] @ x[i] if heads else np.empty(0)
-            hit = np.flatnonzero(c >= threshold)
-            if len(hit):
-                own.append(heads[hit[0]])
-            else:
-                heads.append(i)
-                own.append(i)
-        ids = pdf[key].to_numpy()
-        return pd.DataFrame({key: ids, "representative": ids[own]})
-
-    return rows.filter(F.col(vec).isNotNull()).select(group, key, vec).groupBy(group).applyInPandas(run, f"{key} {kg}, representative {kg}")
+def greedy_clusters(rows: DataFrame, group: str, key: str, vec: str, threshold: float, numbers: int = 1 << 21) -> DataFrame:
+    """(key, representative): in the order of the keys each vector joins the first
+    representative of its group with a cosine of ``threshold`` (above zero), or
+    becomes one. Vectors of other lengths are another group. Keys must not be null.
+
+    Groups are cut by their keys into blocks of about ``numbers`` numbers. Blocks
+    are settled one after the other, those of all groups at a time: a block meets
+    the representatives of the blocks before it, of which each file is a task, and
+    what is left of it is settled in one task. Representatives are kept in files; a
+    task holds one block and one file of them.
+    """
+    spark = rows.sparkSession
+    kg = rows.schema[key].dataType.simpleString()
+    kind = np.float64 if "double" in rows.schema[vec].dataType.simpleString() else np.float32
+    name = F.concat_ws(" ", F.size(vec).cast("string"), F.to_json(F.struct(group)))
+    own = rows.filter(F.col(vec).isNotNull()).select(name.alias("g"), F.col(key).alias("k"), F.col(vec).alias("v"), F.size(vec).alias("dim"))
+    # Where the blocks of groups begin that have more than one; only keys are sorted.
+    place = F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1
+    begin = own.select("g", "dim", "k").withColumn("place", place).filter(F.col("place") % F.greatest(F.lit(1), F.floor(F.lit(numbers) / F.greatest("dim", F.lit(1)))) == 0)
+    starts = begin.groupBy("g").agg(F.collect_list("k").alias("starts")).filter(F.size("starts") > 1)
+    block = F.when(F.col("starts").isNull(), 0).otherwise(F.greatest(F.lit(0), F.size(F.filter("starts", lambda x: x <= F.col("k"))) - 1))
+
+    def cell(v: np.ndarray) -> pa.Array:
+        """One long cell. Arrow cuts those of pandas into chunks, which Spark refuses."""
+        return pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        pdf = rows.to_pandas().sort_values("k", kind="stable")
+        x = np.stack(pdf["v"].to_numpy()).astype(kind)
+        return pa.table({"g": pa.array([pdf["g"].iloc[0]]), "dim": pa.array([x.shape[1]], pa.int32()), "block": pa.array([pdf["block"].iloc[0]], pa.int32()), "ids": cell(pdf["k"].to_numpy()), "x": pa.array([x.tobytes()], pa.binary())})
+
+    blocks = own.join(F.broadcast(starts), "g", "left").select("g", "k", "v", block.cast("int").alias("block"))
+    packed = cut(blocks.groupBy("g", "block").applyInArrow(pack, f"g string, dim int, block int, ids array<{kg}>, x binary"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in map(pa.RecordBatch.to_pandas, batches):
+            for g, dim, heads, hx, x in zip(b["g"], b["dim"], b["heads"], b["hx"], b["x"], strict=True):
+                a, c = (np.frombuffer(z, kind).reshape(-1, dim) if dim else np.empty((0, 0)) for z in (x, hx))
+                i, j = _first_near(a, similarity.units(a), c, similarity.units(c), threshold)
+                yield pa.record_batch({"g": pa.array([g] * len(i), pa.string()), "at": pa.array(i, pa.int64()), "head": pa.array(heads[j])})
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in map(pa.RecordBatch.to_pandas, batches):
+            for g, dim, ids, x, at, head in zip(b["g"], b["dim"], b["ids"], b["x"], b["at"], b["head"], strict=True):
+                a = np.frombuffer(x, kind).reshape(len(ids), dim)
+                at = np.empty(0, np.int64) if at is None else at
+                mine = first_fit(a, threshold, at)
+                to = ids[mine]
+                if len(at):
+                    to[at] = head
+                first = np.flatnonzero(mine == np.arange(len(ids)))
+                yield pa.record_batch({"g": pa.array([g]), "dim": pa.array([dim], pa.int32()), "ids": cell(ids), "to": cell(to), "heads": cell(ids[first]), "hx": pa.array([a[first].tobytes()], pa.binary())})
+
+    files: list[str] = []
+    done = None
+    sizes = packed.groupBy("block").agg(F.sum(F.length("x"))).collect()
+    for n, size in sorted(map(tuple, sizes)):
+        now = packed.filter(F.col("block") == n)
+        small = F.broadcast if size <= similarity.SENT else lambda x: x
+        if done is None:
+            now = now.withColumns({"at": F.lit(None).cast("array<bigint>"), "head": F.lit(None).cast(f"array<{kg}>")})
+        else:
+            heads = spark.read.schema(done.schema).parquet(*files).select("g", "heads", "hx")
+            found = heads.join(small(now.select("g", "dim", "x")), "g").mapInArrow(find, f"g string, at bigint, head {kg}")
+            hits = found.groupBy("g", "at").agg(F.min("head").alias("head")).groupBy("g").agg(F.collect_list(F.struct("at", "head")).alias("hits")).select("g", "hits.at", "hits.head")
+            now = now.join(small(hits), "g", "left")
+        done = cut(now.select("g", "dim", "ids", "x", "at", "head").mapInArrow(settle, f"g string, dim int, ids array<{kg}>, to array<{kg}>, heads array<{kg}>, hx binary"))
+        files += done.inputFiles()
+    if done is None:
+        return rows.limit(0).select(key, F.col(key).alias("representative"))
+    pairs = spark.read.schema(done.schema).parquet(*files).select(F.explode(F.arrays_zip("ids", "to")).alias("p"))
+    return pairs.select(F.col("p.ids").alias(key), F.col("p.to").alias("representative"))
 
 
 def one_per_version(rows: DataFrame, key: list[str], version: str) -> DataFrame:

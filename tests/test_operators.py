@@ -168,6 +168,55 @@ def test_best_hundredth_of_all_pairs_without_writing_them(spark, tmp_path):
     assert similarity.reaching_percentile(v.filter("kind = 'none'"), v, 0.99).first().n == 0
 
 
+def _greedy(keys, x, threshold):
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    heads, own = [], {}
+    for i in np.argsort(keys):
+        own[keys[i]] = next((keys[j] for j in heads if u[i] @ u[j] >= threshold), keys[i])
+        heads += [i] if own[keys[i]] == keys[i] else []
+    return own
+
+
+def test_greedy_clusters_in_blocks_equal_one_pass(spark):
+    from tasklattice.operators import studies
+
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(40, 6)), 8, axis=0) + rng.normal(size=(320, 6)) * 0.25
+    x = np.vstack((x, np.zeros((3, 6)), x[:9])).astype(np.float32)
+    keys = [int(k) for k in rng.permutation(len(x)) + 2**60]
+    kinds = [(None, "a", "b")[k % 3] if k % 7 else "a" for k in range(len(x))]
+    df = spark.createDataFrame([(k, g, v.tolist()) for k, g, v in zip(keys, kinds, x)] + [(1, "a", None)], "id bigint, g string, v array<float>")
+    want = {}
+    for g in (None, "a", "b"):
+        own = [i for i, h in enumerate(kinds) if h == g]
+        want |= _greedy([keys[i] for i in own], x[own].astype(float), 0.9)
+    assert 50 < len(set(want.values())) < 250
+    for numbers in (1 << 21, 6 * 30):  # in one block, and in many
+        got = studies.greedy_clusters(df.repartition(5), "g", "id", "v", 0.9, numbers)
+        assert got.columns == ["id", "representative"]
+        assert sorted(map(tuple, got.collect())) == sorted(want.items())
+    assert studies.greedy_clusters(df.limit(0), "g", "id", "v", 0.9).count() == 0
+
+
+def test_first_fit_meets_representatives_only():
+    """Thirty thousand vectors around eight took minutes one by one."""
+    from time import process_time
+
+    from tasklattice.operators import studies
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(30_000, 48)).astype(np.float32)
+    x[::3] = x[:8][rng.integers(0, 8, 10_000)] + 1e-3 * x[::3]
+    began = process_time()
+    own = studies.first_fit(x, 0.99, np.empty(0, np.int64), 700)
+    assert process_time() - began < 60
+    assert (own[own] == own).all() and (own <= np.arange(len(x))).all() and len(np.unique(own)) < 20_050
+    for i in rng.integers(0, len(x), 30):
+        c = similarity.exact_cosines(x, np.full(i, i), x, np.arange(i)) if i else np.empty(0)
+        hit = np.flatnonzero((c >= 0.99) & (own[:i] == np.arange(i)))
+        assert own[i] == (hit[0] if len(hit) else i)
+
+
 def test_ols_and_logit(spark):
     rng = np.random.default_rng(4)
     x, g = rng.normal(size=400), rng.integers(0, 20, 400)
